@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, sharding
+from . import decontamination, exact_dedup, pieces, sharding
 from .oracles import ORACLES
 
 
@@ -48,6 +49,26 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are; their folder is a parameter (MATRELATE_TOKENIZERS)."""
+    folder = os.environ.get("MATRELATE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select(
+        F.col("record.doc_id").alias("doc_id"),
+        "n_tokens",
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
