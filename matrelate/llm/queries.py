@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, pieces, sharding
+from . import chat, decontamination, exact_dedup, importance, language_id, pieces, sharding
 from .oracles import ORACLES
 
 
@@ -59,6 +59,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    share = labels.agg(F.avg((F.col("quality") == 1).cast("double")).alias("s")).first()["s"]
+    return importance.resample(docs, labels.where(good).select("doc_id"), keep=1.0 if share is None else share)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _remainder(4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    out = language_id.identify(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    return out.select("record.doc_id", "lang_pred", "score").withColumn("held_out", held_out)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files are; their folder is a parameter (MATRELATE_TOKENIZERS)."""
     folder = os.environ.get("MATRELATE_TOKENIZERS")
