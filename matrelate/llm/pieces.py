@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -34,9 +35,11 @@ from .common import raw_texts
 
 SPACE = "▁"
 #: Segments remembered by a worker; later ones are computed again for each batch.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 600_000
+#: Token pairs remembered by a worker.
+PAIRS = 2_000_000
 #: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 2 << 20
 
 
 def load_model(path: str) -> dict:
@@ -62,6 +65,17 @@ def load_model(path: str) -> dict:
     return {"normal": normal, "byte": byte}
 
 
+class _Pairs(dict):
+    """Compatibility of token pairs, worked out when first asked for."""
+
+    def __init__(self, compatible):
+        self.compatible = compatible
+
+    def __missing__(self, key: int) -> bool:
+        fits = self[key] = self.compatible(key >> 20, key & 0xFFFFF)
+        return fits
+
+
 class PieceCodec:
     """Encoder and decoder of one model."""
 
@@ -81,9 +95,10 @@ class PieceCodec:
         known = {c for s in normal for c in s if c in normal}
         self.known = known
         self._build_trees()
-        self.pairs: dict[int, bool] = {}
+        self.pairs = _Pairs(self.compatible)
         self.cache: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.written = {k: str(k) for k in [*self.surface, *self.byte.values()]}
+        self.bytes_of = {k: s.replace(SPACE, " ").encode() for s, k in self.id_of.items()} | {k: bytes([b]) for b, k in self.byte.items()}
         self.runs: dict[int, list[int]] = {}
 
     # -- merge trees -----------------------------------------------------
@@ -116,10 +131,9 @@ class PieceCodec:
 
     def _build_trees(self) -> None:
         """For each piece that merging can produce: its right spine and left spine, each part with the score that consumes it."""
-        self.left: dict[int, list[tuple[str, float, float]]] = {}
-        self.right: dict[int, list[tuple[str, float, float]]] = {}
+        self.left: dict[int, list[tuple[str, float]]] = {}
+        self.right: dict[int, list[tuple[str, float]]] = {}
         self.automaton = ahocorasick.Automaton()
-        highest = float("inf")
         parts: dict[str, tuple[str, str]] = {}
         for s in sorted(self.id_of, key=len):
             if any(c not in self.known for c in s) or (len(s) > 1 and not s.strip(SPACE)):
@@ -133,13 +147,12 @@ class PieceCodec:
                     raise ValueError("a piece scores above one of its parts")
             k = self.id_of[s]
             for side, spines in ((0, self.left), (1, self.right)):
-                spine, part, consumed = [], s, -highest
+                spine, part, consumed = [], s, -float("inf")
                 while True:
-                    formed = self.score[part] if len(part) > 1 else highest
-                    spine.append((part, formed, consumed))
+                    spine.append((part, consumed))
                     if len(part) == 1:
                         break
-                    consumed, part = formed, parts[part][side]
+                    consumed, part = self.score[part], parts[part][side]
                 spines[k] = spine
             self.automaton.add_word(s, (len(s), k))
         self.automaton.make_automaton()
@@ -147,40 +160,40 @@ class PieceCodec:
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the two joined strings gives exactly these two tokens.
 
-        Walks both spines at the seam.  A part of the left token and a part of
-        the right one that stand there at the same time would merge if their
-        union scores above what consumes either of them; on equal scores the
-        merge further left comes first.
+        Walks both spines at the seam in the order in which merging builds
+        them.  A part of the left token and a part of the right one that stand
+        there at the same time would merge if their union scores above what
+        consumes either of them; on equal scores the merge further left comes
+        first.
         """
-        for x, x_formed, x_consumed in self.right[a]:
-            for y, y_formed, y_consumed in self.left[b]:
-                if min(x_formed, y_formed) <= max(x_consumed, y_consumed):
-                    continue  # never side by side
-                union = self.score.get(x + y)
-                if union is not None and union > x_consumed and union >= y_consumed:
-                    return False
-        return True
+        left, right = self.right[a], self.left[b]
+        i, j, score = len(left) - 1, len(right) - 1, self.score
+        while True:
+            (x, x_consumed), (y, y_consumed) = left[i], right[j]
+            union = score.get(x + y)
+            if union is not None and union > x_consumed and union >= y_consumed:
+                return False
+            if x_consumed >= y_consumed:
+                if not i:
+                    return True  # both are whole
+                i -= 1
+            else:
+                j -= 1
 
     # -- encoding --------------------------------------------------------
 
     def prefix_table(self, text: str) -> list[int]:
         """The last token of each prefix's encoding; 0 at segment starts and at characters outside the vocabulary."""
+        # entry k is for the prefix that ends with character k; the one at -1 is the empty prefix
         last = [0] * (len(text) + 1)
-        pairs, compatible = self.pairs, self.compatible
+        fits = self.pairs
+        if len(fits) > PAIRS:
+            fits.clear()
         for end, (size, token) in self.automaton.iter(text):
-            if last[end + 1]:
-                continue
-            before = last[end + 1 - size]
-            if before:
-                key = before << 20 | token
-                fits = pairs.get(key)
-                if fits is None:
-                    fits = pairs[key] = compatible(before, token)
-                    if len(pairs) > 2_000_000:
-                        pairs.clear()
-                if not fits:
-                    continue
-            last[end + 1] = token
+            if not last[end]:
+                before = last[end - size]
+                if not before or fits[before << 20 | token]:
+                    last[end] = token
         return last
 
     def encode_segments(self, segments: list[str]) -> list[list[int]]:
@@ -191,7 +204,7 @@ class PieceCodec:
         for s in segments:
             ids, end = [], at + len(s)
             while end > at:
-                token = last[end]
+                token = last[end - 1]
                 if token:
                     ids.append(token)
                     end -= len(self.surface[token])
@@ -229,33 +242,41 @@ class PieceCodec:
 
     def learn(self, segments: set[str]) -> list[str]:
         """Encode those of ``segments`` that are not cached; returns them."""
-        new = list(segments - self.cache.keys())
-        if not new:
-            return new
-        for s, ids in zip(new, self.encode_segments([s[max(0, len(s) - len(s.lstrip(SPACE)) - 1) :] for s in new])):
-            run = len(s) - len(s.lstrip(SPACE)) - 1
-            if run > 0:
-                alone = ids[0] == self.id_of[SPACE]
-                ids = self.run_ids(run + alone) + ids[alone:]
-            self.cache[s] = ",".join(map(str, ids))
-            self.decoded[s] = self.decode_ids(ids)
+        new = list(segments.difference(self.cache))
+        written, cache, surfaces = self.written, self.cache, self.bytes_of
+        runs = [s for s in new if s.startswith(SPACE + SPACE)]
+        if runs:
+            short = {s: SPACE + s.lstrip(SPACE) for s in runs}
+            ids_of = dict(zip(runs, self.encode_segments([short[s] for s in runs])))
+            plain = [s for s in new if s not in ids_of]
+        else:
+            plain, ids_of = new, {}
+        for s, ids in ids_of.items():
+            alone = ids[0] == self.id_of[SPACE]
+            ids_of[s] = self.run_ids(len(s) - len(short[s]) + alone) + ids[alone:]
+        for s, ids in chain(zip(plain, self.encode_segments(plain)), ids_of.items()):
+            if b"".join(map(surfaces.__getitem__, ids)) != s.replace(SPACE, " ").encode():
+                raise AssertionError(f"{s!r} does not decode to itself")
+            cache[s] = ",".join(map(written.__getitem__, ids))
         return new
 
     def decode_ids(self, ids: list[int]) -> bytes:
         """UTF-8 bytes of the ids' surfaces, space marks as spaces."""
-        if not hasattr(self, "_bytes_of"):
-            self._bytes_of = {k: s.replace(SPACE, " ").encode() for s, k in self.id_of.items()} | {k: bytes([b]) for b, k in self.byte.items()}
-        return b"".join(map(self._bytes_of.__getitem__, ids))
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def run(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Per text its ids, joined by commas, and what they decode to."""
+    def run(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Per text its ids, joined by commas, and what they decode to.
+
+        The decoded text is put together from the segments: each segment's
+        ids were decoded, and compared with it, when it was learned.
+        """
         split = [self.split(t) if t else [] for t in texts]
         new = self.learn(set().union(*split))
-        ids, decoded = self.cache.__getitem__, self.decoded.__getitem__
-        out = [(",".join(map(ids, s)), b"".join(map(decoded, s))[1:]) for s in split]
+        ids = self.cache.__getitem__
+        out = [(",".join(map(ids, s)), "".join(s).replace(SPACE, " ")[1:]) for s in split]
         if len(self.cache) > CACHE_SEGMENTS:
             for s in new:
-                del self.cache[s], self.decoded[s]
+                del self.cache[s]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -263,7 +284,7 @@ class PieceCodec:
         return [int(x) for x in joined.split(",")] if joined else []
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.decode_ids([k for k in ids if k in self.surface or k in set(self.byte.values())])
+        raw = self.decode_ids([k for k in ids if k in self.bytes_of])
         text = raw.decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -271,23 +292,23 @@ class PieceCodec:
 _codecs: dict[str, PieceCodec] = {}
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` in the struct ``record``, with ``ids`` (decimal, comma-joined), ``n_tokens`` and ``decoded``.
+def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``record`` (the columns in ``carry``, by default all), with ``ids`` (decimal, comma-joined), ``n_tokens`` and ``decoded``.
 
     ``split(ids, ',')`` gives the ids as an array.  The model is read by the
     driver and sent to the workers (half a megabyte).
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(load_model(model_path))
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    at = docs.columns.index(text_col)
+    carry = docs.columns if carry is None else carry
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("record"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_path not in _codecs:
             _codecs[model_path] = PieceCodec(model.value)
         codec = _codecs[model_path]
         for batch in batches:
-            texts = raw_texts(batch.column(0).field(at))
+            texts = raw_texts(batch.column(1))
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
@@ -300,7 +321,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
                         batch.column(0).slice(lo, hi - lo),
                         pa.array([i for i, _ in got], pa.string()),
                         pa.array([i.count(",") + 1 if i else 0 for i, _ in got], pa.int64()),
-                        pa.array([d.decode(errors="replace") for _, d in got], pa.string()),
+                        pa.array([d for _, d in got], pa.string()),
                     ],
                     names=["record", "ids", "n_tokens", "decoded"],
                 )

@@ -89,7 +89,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    out = pieces.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), carry=["doc_id"])
     return out.select(
         F.col("record.doc_id").alias("doc_id"),
         "n_tokens",
