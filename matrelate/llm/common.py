@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors: every later stage
-    reads files that all executors see.
+    reads files that all executors see, so the job's shuffle files can go as
+    soon as it has ended.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # a new plan, since a plan takes the setting when it is made
+        df.select("*").write.options(**{"compression": "zstd", **options}).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,3 +89,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+class WordHashes(dict):
+    """64-bit hashes of byte strings; remembers the first ``bound`` it is asked for."""
+
+    def __init__(self, bound: int = 500_000):
+        super().__init__()
+        self.bound = bound
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.bound:
+            self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, raw_texts
+from .common import LOWER, WordHashes, materialize, raw_texts
 
 BUCKETS = 10_000
 TARGET_DOCS = 200_000
@@ -37,21 +36,13 @@ BINS, LAST = 4096, 10_000
 _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x200-9a-z\x80-\xff]+")
 
 
-class _Hashes(dict):
-    def __missing__(self, token: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(token)
-        if len(self) < 500_000:
-            self[token] = h
-        return h
-
-
-_hashes = _Hashes()
+_hashes = WordHashes()
 
 
 def features(text: bytes | None) -> np.ndarray:
     """Buckets of the text's unigrams, then bigrams; words and runs of other signs are tokens."""
     tokens = _TOKENS.findall(text.translate(LOWER)) if text else []
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    h = _hashes.of(tokens)
     both = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     both ^= both >> np.uint64(29)
     return (np.concatenate([h, both]) % np.uint64(BUCKETS)).astype(np.int64)

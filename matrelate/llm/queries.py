@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, importance, language_id, pieces, sharding
+from . import chat, decontamination, exact_dedup, importance, language_id, lm_scoring, near_dedup, pieces, sharding, substring_dedup
 from .oracles import ORACLES
 
 
@@ -40,6 +42,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns, spec), spec)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_groups(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), n_shards=40)
     text = F.coalesce(F.col("record.text"), F.lit(""))
@@ -78,6 +84,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record.doc_id", "lang_pred", "score").withColumn("held_out", held_out)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.find_repeats(_table(spark, sf_dir, "documents"), length=35)
+    return out.select("doc_id", "n_words", decontamination.n_hit("repeats").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _not_held_out(ids: list) -> np.ndarray:
+    return np.array([i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i in ids], bool)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.score_documents(_table(spark, sf_dir, "documents"), _not_held_out)
+    return out.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files are; their folder is a parameter (MATRELATE_TOKENIZERS)."""
     folder = os.environ.get("MATRELATE_TOKENIZERS")
