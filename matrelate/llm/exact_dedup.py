@@ -108,3 +108,21 @@ def deduplicate(docs: DataFrame, keep: str = "min", digest=sha256, id_col: str =
         F.col("n").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"),
     )
+
+
+def drop_duplicates(docs: DataFrame, keep: str = "min", digest=sha256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row for each distinct text; of rows equal in id and text any one stays."""
+    found = deduplicate(docs, keep, digest, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).alias("id"), digest(text).alias("digest"))
+
+    def among(side: DataFrame, how: str) -> DataFrame:
+        return rows.join(side, rows["id"].eqNullSafe(side["other_id"]) & (rows["digest"] == side["other_digest"]), how)
+
+    key = [F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest")]
+    lost = found.where(~F.col("kept")).select(*key).distinct()
+    repeated = found.where("kept").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("other_id", "other_digest")
+    if repeated.isEmpty():
+        return among(lost, "left_anti").select("record.*")
+    once = among(lost.unionByName(repeated), "left_anti").select("record")
+    return once.unionByName(among(repeated, "left_semi").dropDuplicates(["id", "digest"]).select("record")).select("record.*")
