@@ -1 +1 @@
-"""."""
+"""Relational operators on matrices: projections, selections, joins, aggregations."""
