@@ -148,9 +148,9 @@ def _sign(a, parameters: SolverParameters, needs_adjoint: bool):
     one = a.eye()
     low, high = (a.H @ a).bounds() if needs_adjoint else a.bounds()
     top = math.sqrt(max(abs(low), abs(high))) if needs_adjoint else max(abs(low), abs(high))
-    ratio = 0.0 if needs_adjoint else min(abs(low), abs(high)) / top
+    near = math.sqrt(max(low, 0.0)) if needs_adjoint else min(abs(low), abs(high))
     # an indefinite matrix' bounds say nothing on how near to zero its spectrum comes
-    state = {"x": ratio if low > 0 or high < 0 else 1e-3}
+    state = {"x": max(near / top, 1e-3) if low > 0 or high < 0 else 1e-3}
 
     def step(x):
         k = state["x"]

@@ -466,8 +466,7 @@ for _order in (2, 3):
 
 def _newton_root(c: Chain, p: int) -> str:
     """p-th root of DD by the coupled Newton iteration on 2 p + 10 rounds."""
-    m, x = c.lin((0.5, "DD")), c.lin((0.5 ** (-1 / p) * 0.5, "E")) if False else "E"
-    m = c.lin((0.5, "DD"))
+    m, x = c.lin((0.5, "DD")), "E"
     for _ in range(2 * p + 12):
         t = c.lin(((p + 1) / p, "E"), (-1 / p, m))
         x = c.mul(x, t)

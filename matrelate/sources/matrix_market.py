@@ -40,14 +40,15 @@ def parse_header(line: str) -> Header:
 
 def read(spark: SparkSession, path: str, square: bool = True) -> Matrix:
     lines = spark.read.text(path)
-    banner = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
-    if banner is None:
+    found = lines.select("value", F.col("_metadata.file_path").alias("file")).where(F.col("value").startswith("%%MatrixMarket")).first()
+    if found is None:
         raise ValueError(f"{path} has no banner")
-    header = parse_header(banner["value"])
+    header = parse_header(found["value"])
     parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    data = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(parts.alias("p"))
-    # the size line comes first among the data lines and files are read in order
-    size = data.first()["p"]
+    is_data = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    data = lines.where(is_data).select(parts.alias("p"))
+    # the size line is the first line after the comments in the file that has the banner
+    size = spark.read.text(found["file"]).where(is_data).select(parts.alias("p")).first()["p"]
     rows, cols, count = (int(x) for x in size)
     if square and rows != cols:
         raise ValueError(f"{path} is {rows} x {cols}, not square")
