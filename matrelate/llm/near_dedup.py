@@ -37,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, materialize, mix64, raw_texts
+from .common import LOWER, WordHashes, materialize, mix64, raw_texts, small
 from .components import connected_components
 
 BINS = 128
 BAND_ROWS = 4
 BANDS = BINS // BAND_ROWS
 #: Shingle hashes of the members of a bucket that one task compares at once.
-BLOCK_HASHES = 2_000_000
+BLOCK_HASHES = 100_000
 #: Signature agreement below which a pair is not confirmed: over five standard deviations under the threshold.
 MARGIN = 0.2
 
@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
                         names=["class", "signature", "hashes"],
                     )
 
-    rep = wanted.select(F.col("rep").alias("wanted_id")).distinct()
+    rep = small(wanted.select(F.col("rep").alias("wanted_id")).distinct())
     rows = docs.join(rep, F.col(id_col).cast("long").eqNullSafe(F.col("wanted_id")), "left_semi").select(F.col(text_col).alias("text"))
     found = rows.mapInArrow(run, SET_SCHEMA).join(wanted.select("class").distinct(), "class", "left_semi")
     return materialize(found.groupBy("class").agg(F.min("signature").alias("signature"), F.min("hashes").alias("hashes")), "sets")
@@ -227,11 +227,16 @@ def _complete(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     """Links that the stars missed, from buckets that still hold several components."""
     labelled = members.join(roots, members["class"] == roots["node"], "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("label"))
     blocks = F.ceil(F.sum("n") / BLOCK_HASHES).cast("int")
+    # two 64-bit sums over the members' hashes tell member lists apart
+    both = F.struct(*[F.sum(F.xxhash64(F.lit(seed), "class").cast("decimal(20,0)")) for seed in (1, 2)])
     mixed = (
         labelled.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h"), blocks.alias("blocks"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h"), blocks.alias("blocks"), both.alias("members"))
         .where("size > 2 and l <> h")
-        .select("bucket", "blocks")
+        # bands often gather the very same members; one of such buckets is enough
+        .groupBy("size", "members")
+        .agg(F.min(F.struct("bucket", "blocks")).alias("one"))
+        .select("one.bucket", "one.blocks")
     )
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     placed = labelled.join(mixed, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -260,9 +265,15 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     )
     classes = materialize(classes, "classes")
 
-    spread = classes.select("class", "rep", "n", F.explode("bands").alias("bucket"))
-    stars = spread.groupBy("bucket").agg(F.min("class").alias("centre"), F.min(F.struct("class", "n")).getField("n").alias("centre_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(spread.join(stars, "bucket"), "members")
+    # the first half of the class is enough to find buckets of several; should two classes share it, both are looked at
+    short = F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long")
+    spread = classes.select(short.alias("short"), F.explode("bands").alias("bucket"))
+    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    found = spread.join(several, "bucket").join(classes.select("class", "rep", "n", short.alias("short")), "short").drop("short")
+    found = materialize(found, "found")
+    centre = F.min(F.struct("class", "n"))
+    stars = found.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n"))
+    members = materialize(found.join(stars, "bucket"), "members")
     fits = F.expr(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
     candidates = members.where("class <> centre").where(fits).select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
     sets = _sets(docs, members.select("class", "rep"), size, id_col, text_col)
