@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, materialize, pack, raw_texts, shuffle_partitions, unpack
 
 #: A block is closed at this many words; one document is never cut.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_200_000
 #: Shards are as many as keep a shard's keys around this number.
-SHARD_KEYS = 2_000_000
+SHARD_KEYS = 1_000_000
 
 BLOCK_SCHEMA = "block long, words long, doc_ids array<long>, lengths binary, codes binary, vocabulary binary"
 BLOCK_NAMES = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]

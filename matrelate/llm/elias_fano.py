@@ -20,11 +20,29 @@ import os
 import numpy as np
 
 
+#: Queries are worked off in runs that stay in the processor's cache.
+RUN = 1 << 16
+
+
+def _select_in_word(word: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Position of the left-th set bit of each word."""
+    place = np.zeros(len(word), np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        low = word & np.uint64((1 << width) - 1)
+        ones = np.bitwise_count(low).astype(np.int64)
+        beyond = left >= ones
+        left = left - ones * beyond
+        place += width * beyond
+        word = np.where(beyond, word >> np.uint64(width), low)
+    return place
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers below 2^62."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ranks = n, low_bits, low, high, ranks
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.zeros = np.arange(len(ones)) * 64 - ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -32,67 +50,78 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel()
-        low = np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(9, np.uint8)])
-        high = np.zeros((top >> low_bits) + n + 1, np.uint8)
-        high[(values >> low_bits) + np.arange(n)] = 1
-        high = np.packbits(high, bitorder="little")
-        high = np.concatenate([high, np.zeros(-len(high) % 8, np.uint8)])
-        ones = np.bitwise_count(high.view(np.uint64)).astype(np.int64)
-        return cls(n, low_bits, low, high, np.concatenate([[0], np.cumsum(ones)]))
+        low = np.zeros((n * low_bits + 63) // 64 + 2, np.uint64)
+        if low_bits:
+            part = (values & ((1 << low_bits) - 1)).astype(np.uint64)
+            at = np.arange(n) * low_bits
+            shift = (at & 63).astype(np.uint64)
+            np.bitwise_or.at(low, at >> 6, part << shift)
+            over = np.flatnonzero(shift + np.uint64(low_bits) > 64)
+            np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (np.uint64(64) - shift[over]))
+        bitmap = np.zeros(-(-((top >> low_bits) + n + 2) // 64) * 64, np.uint8)
+        bitmap[(values >> low_bits) + np.arange(n)] = 1
+        high = np.packbits(bitmap, bitorder="little").view(np.uint64)
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
+        return cls(n, low_bits, low, high, ones)
 
     def _low(self, index: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(index), np.int64)
         at = index * self.low_bits
-        byte, shift = at >> 3, (at & 7).astype(np.uint64)
-        word = np.zeros(len(index), np.uint64)
-        for k in range(8):
-            word |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        word >>= shift
-        if self.low_bits > 56:
-            word |= np.where(shift > 0, self.low[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return (word & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        # the second shift in two steps, as one by 64 is not defined
+        both = (self.low[word] >> shift) | ((self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        return (both & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def _select(self, index: np.ndarray) -> np.ndarray:
         """Position in the bitmap of the index-th set bit."""
-        block = np.searchsorted(self.ranks, index, side="right") - 1
-        left = index - self.ranks[block]
-        word = self.high.view(np.uint64)[block]
-        place = np.zeros(len(index), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            part = word & np.uint64((1 << width) - 1)
-            ones = np.bitwise_count(part).astype(np.int64)
-            beyond = left >= ones
-            left = np.where(beyond, left - ones, left)
-            word = np.where(beyond, word >> np.uint64(width), part)
-            place += np.where(beyond, width, 0)
-        return block * 64 + place
+        block = np.searchsorted(self.ones, index, side="right") - 1
+        return block * 64 + _select_in_word(self.high[block], index - self.ones[block])
+
+    def _upto(self, part: np.ndarray) -> np.ndarray:
+        """How many numbers have high bits at most ``part``: the part-th clear bit stands behind them."""
+        block = np.searchsorted(self.zeros, part, side="right") - 1
+        inside = block < len(self.high)
+        block = np.minimum(block, len(self.high) - 1)
+        place = block * 64 + _select_in_word(~self.high[block], part - self.zeros[block])
+        return np.where(inside & (part >= 0), place - part, np.where(part < 0, 0, self.n))
 
     def get(self, index: np.ndarray) -> np.ndarray:
         return ((self._select(index) - index) << self.low_bits) | self._low(index)
 
     def successor(self, bound: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """First index in [begin, end) whose number is at least ``bound``; ``end`` if none is."""
-        low, high = begin.copy(), end.copy()
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            middle = (low[open_] + high[open_]) >> 1
-            less = self.get(middle) < bound[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
+        out = np.empty(len(bound), np.int64)
+        for at in range(0, len(bound), RUN):
+            part = slice(at, at + RUN)
+            out[part] = self._successor(bound[part], begin[part], end[part])
+        return out
+
+    def _successor(self, bound: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        part, rest = bound >> self.low_bits, bound & ((1 << self.low_bits) - 1)
+        # only numbers with the bound's own high bits need their low bits looked at
+        low = np.clip(self._upto(part - 1), begin, end)
+        high = np.clip(self._upto(part), begin, end)
+        alive = np.flatnonzero(low < high)
+        while len(alive):
+            middle = (low[alive] + high[alive]) >> 1
+            less = self._low(middle) < rest[alive]
+            low[alive[less]] = middle[less] + 1
+            high[alive[~less]] = middle[~less]
+            alive = alive[low[alive] < high[alive]]
+        return low
 
     def save(self, folder: str, name: str) -> None:
         np.save(f"{folder}/{name}.low.npy", self.low)
         np.save(f"{folder}/{name}.high.npy", self.high)
-        np.save(f"{folder}/{name}.ranks.npy", self.ranks)
+        np.save(f"{folder}/{name}.ones.npy", self.ones)
         np.save(f"{folder}/{name}.size.npy", np.array([self.n, self.low_bits]))
 
     @classmethod
     def load(cls, folder: str, name: str) -> EliasFano:
         part = lambda x: np.load(f"{folder}/{name}.{x}.npy", mmap_mode="r")
         n, low_bits = part("size")
-        return cls(int(n), int(low_bits), part("low"), part("high"), part("ranks"))
+        return cls(int(n), int(low_bits), part("low"), part("high"), part("ones"))
 
 
 class NgramTrie:
@@ -136,11 +165,18 @@ class NgramTrie:
         out = np.full(len(grams), missing, self.codes.dtype)
         alive, node = np.arange(len(grams)), np.zeros(len(grams), np.int64)
         for level, (words, pointers, base) in enumerate(self.levels):
-            begin, end = pointers.get(node), pointers.get(node + 1)
-            wanted = base.get(node) + grams[alive, level].astype(np.int64)
+            # queries that follow each other often share their beginning: it is looked up once
+            prefix = grams[alive, : level + 1]
+            new = np.ones(len(alive), bool)
+            new[1:] = (prefix[1:] != prefix[:-1]).any(axis=1)
+            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            parent, same = np.unique(node[first], return_inverse=True)
+            begin, end, start = pointers.get(parent)[same], pointers.get(parent + 1)[same], base.get(parent)[same]
+            wanted = start + prefix[first, level].astype(np.int64)
             at = words.successor(wanted, begin, end)
             found = at < end
             found[found] = words.get(at[found]) == wanted[found]
-            alive, node = alive[found], at[found]
+            keep = found[run]
+            alive, node = alive[keep], at[run[keep]]
         out[alive] = self.codes[node]
         return out
