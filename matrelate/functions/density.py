@@ -271,13 +271,18 @@ def mcweeny_step(d, s=None):
 
 
 def purification_extrapolate(d, s, ne: float, parameters: SolverParameters = DEFAULT):
-    """A density for a new overlap from the old one, purified in the new metric."""
+    """A density for a new overlap from the old one, purified in the new metric.
+
+    The first step folds occupations above one, which the new metric makes of
+    the old density's ones and which squaring would drive away.
+    """
+    folded = []
 
     def step(x):
-        sx = s @ x
-        xsx = x @ sx
-        now = x.dot(s)
-        new = (xsx if now > ne else x * 2.0 - xsx).settled()
+        xsx = x @ (s @ x)
+        square = bool(folded) and x.dot(s) > ne
+        folded.append(True)
+        new = (xsx if square else x * 2.0 - xsx).settled()
         return new, (new - x).norm1()
 
     return iterate(step, d, parameters)
@@ -295,5 +300,5 @@ def estimate_gap(h, k, mu: float, parameters: SolverParameters = DEFAULT) -> flo
 
     low, _ = h.bounds()
     occupied = k @ (h - h.eye() * low)
-    fine = SolverParameters(max_iterations=max(100, parameters.max_iterations), converge_diff=parameters.converge_diff)
+    fine = SolverParameters(max_iterations=max(300, parameters.max_iterations), converge_diff=min(parameters.converge_diff, 1e-9), monitor_convergence=False)
     return 2.0 * (mu - (power_bounds(occupied, fine) + low))

@@ -95,7 +95,8 @@ def root(a, p: int, parameters: SolverParameters = DEFAULT):
         return root(a @ a, 6, parameters)
     if p == 4:
         return square_root(square_root(a, parameters), parameters)
-    return a @ inverse_root(power(a, p - 1), p, parameters)
+    # the inverse root is raised, not the matrix, whose high powers would drown small eigenvalues
+    return a @ power(inverse_root(a, p, parameters), p - 1)
 
 
 def inverse_root(a, p: int, parameters: SolverParameters = DEFAULT):
