@@ -86,6 +86,13 @@ def load_balance(m: Matrix) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
+def information(m: Matrix) -> dict:
+    """Dimension, entries, fill, and the smallest and largest number of entries in a partition."""
+    low, high = load_balance(m)
+    count = nnz(m)
+    return {"rows": m.rows, "columns": m.cols, "entries": count, "fill": count / (m.rows * m.cols), "partition_min": low, "partition_max": high}
+
+
 def is_identity_table(m: Matrix, tiny: float = 1e-10) -> DataFrame:
     """Whether no entry is off the diagonal and every diagonal entry is one."""
     bad = (F.col("i") != F.col("j")) | (F.abs(_real(m) - 1.0) > tiny)

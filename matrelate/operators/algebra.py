@@ -41,13 +41,17 @@ def scale(m: Matrix, factor: complex | float) -> Matrix:
     return m.with_df(m.df.select("i", "j", *[(F.col(c) * factor).alias(c) for c in m.values]))
 
 
-def gemm(a: Matrix, b: Matrix, alpha: float = 1.0, beta: float = 0.0, c: Matrix | None = None, threshold: float = 0.0) -> Matrix:
-    """alpha * a b + beta * c; product entries at or under the threshold are dropped after alpha.
+def gemm(
+    a: Matrix, b: Matrix, alpha: float = 1.0, beta: float = 0.0, c: Matrix | None = None, threshold: float = 0.0,
+    transpose_a: bool = False, transpose_b: bool = False,
+) -> Matrix:
+    """alpha * op(a) op(b) + beta * c; product entries at or under the threshold are dropped after alpha.
 
-    One equi-join on the inner index and one grouped sum with partial sums
+    Transposing swaps column names and costs nothing.  One equi-join on the inner index and one grouped sum with partial sums
     before the shuffle.  A hub on the inner index is a skewed join partition,
     which adaptive execution splits.
     """
+    a, b = transpose(a) if transpose_a else a, transpose(b) if transpose_b else b
     if a.cols != b.rows:
         raise ValueError(f"{a.rows} x {a.cols} times {b.rows} x {b.cols}")
     a, b = _same_kind(a, b)
@@ -84,6 +88,13 @@ def dot(a: Matrix, b: Matrix) -> complex:
     return complex(row["re"], row["im"]) if "re" in row else complex(row["v"])
 
 
+def dot_columns(m: Matrix, column: int, pivots: DataFrame | None = None) -> DataFrame:
+    """(j, v): dot products of one column with every column, or with those listed in ``pivots`` (j)."""
+    one = m.df.where(F.col("j") == column).select("i", F.col("v").alias("x"))
+    others = m.df if pivots is None else m.df.join(pivots.select("j"), "j", "left_semi")
+    return others.join(one, "i").groupBy("j").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+
+
 def diagonal_scale(m: Matrix, factors: DataFrame) -> Matrix:
     """Columns times the factors (j, f); columns that are not listed stay."""
     joined = m.df.join(factors.select(F.col("j").cast("long").alias("j"), F.col("f").cast("double").alias("f")), "j", "left")

@@ -87,6 +87,17 @@ def merge_lists(*lists: DataFrame) -> DataFrame:
     return out
 
 
+def redistribute(m: Matrix, partitions: int, by: str = "j") -> Matrix:
+    """The entries spread over a number of partitions by row, column or both."""
+    keys = ["i", "j"] if by == "ij" else [by]
+    return m.with_df(m.df.repartition(partitions, *keys))
+
+
+def triplet_at(df: DataFrame, i: int, j: int):
+    """One entry of a triplet list, or None."""
+    return df.where((F.col("i") == i) & (F.col("j") == j)).first()
+
+
 def compose(grid: list[list[Matrix]]) -> Matrix:
     """One matrix from a grid of blocks."""
     top, parts = 0, []

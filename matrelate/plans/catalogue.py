@@ -268,6 +268,24 @@ def _hadamard(spark, d):
     return rounded(algebra.hadamard(m, select.transpose(m)))
 
 
+@_chain_query("gemm_transposed", ["SP"], lambda c: c.mul(c.transpose("SP"), c.transpose("SP")))
+def _gemm_transposed(spark, d):
+    m = tables.sp(spark, d).settled()
+    return rounded(algebra.gemm(m, m, transpose_a=True, transpose_b=True))
+
+
+@_chain_query("vector_add", ["SP"], lambda c: c.add("SELECT 1::BIGINT AS i, j, sum(v) AS v FROM (SELECT j, v * 2 AS v FROM SP WHERE i = 3 UNION ALL SELECT j, v FROM SP WHERE i = 4) GROUP BY j"))
+def _vector_add(spark, d):
+    m = tables.sp(spark, d).settled()
+    return rounded(algebra.axpy(select.extract_row(m, 3), select.extract_row(m, 4), 2.0))
+
+
+@_chain_query("vector_pairwise", ["SP"], lambda c: c.add("SELECT 1::BIGINT AS i, a.j, a.v * b.v AS v FROM SP a JOIN SP b ON a.j = b.j WHERE a.i = 3 AND b.i = 4"))
+def _vector_pairwise(spark, d):
+    m = tables.sp(spark, d).settled()
+    return rounded(algebra.hadamard(select.extract_row(m, 3), select.extract_row(m, 4)))
+
+
 def _table_query(name: str, bases: list[str], body: str):
     return query(name, Chain(*bases).select(body))
 
@@ -278,6 +296,27 @@ def _dot(spark, d):
     return algebra.dot_table(m, select.transpose(m))
 
 
+@_table_query("dot_columns", ["SP"], "SELECT a.j, sum(a.v * b.v) AS v FROM SP a JOIN SP b ON a.i = b.i WHERE b.j = 5 GROUP BY a.j")
+def _dot_columns(spark, d):
+    return algebra.dot_columns(tables.sp(spark, d).settled(), 5)
+
+
+@_table_query("dot_columns_pivoted", ["SP"], "SELECT a.j, sum(a.v * b.v) AS v FROM SP a JOIN SP b ON a.i = b.i WHERE b.j = 5 AND a.j % 10 = 0 GROUP BY a.j")
+def _dot_columns_pivoted(spark, d):
+    return algebra.dot_columns(tables.sp(spark, d).settled(), 5, spark.range(10, 101, 10).withColumnRenamed("id", "j"))
+
+
+@_table_query("vector_dot", ["SP"], "SELECT sum(a.v * b.v) AS v FROM SP a JOIN SP b ON a.j = b.j WHERE a.i = 3 AND b.i = 4")
+def _vector_dot(spark, d):
+    m = tables.sp(spark, d).settled()
+    return algebra.dot_table(select.extract_row(m, 3), select.extract_row(m, 4))
+
+
+@_chain_query("redistribute", ["SP"], lambda c: "SP")
+def _redistribute(spark, d):
+    return rounded(select.redistribute(tables.sp(spark, d), 7, "ij"))
+
+
 @_chain_query("diagonal_scale", ["SP"], lambda c: c.add("SELECT i, j, CASE WHEN j % 2 = 0 THEN v * (j / 4.0) ELSE v END AS v FROM SP"))
 def _diagonal_scale(spark, d):
     factors = spark.range(2, 101, 2).select(F.col("id").alias("j"), (F.col("id") / 4.0).alias("f"))

@@ -1 +1 @@
-"""Readers and writers of matrices."""
+"""Readers and writers of matrices, and matrices made from tables."""

@@ -1 +1,18 @@
-"""."""
+"""Accumulating matrices from streams of triplets.
+
+The iterations of this library are driver loops, not streams.  What a stream
+can do here is feed a matrix: triplets that arrive over time are summed by
+coordinate, which is what building a matrix from a list does.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def accumulate(triplets: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Keep the running sum of a stream of (i, j, v) in the table ``name``; read it with ``spark.table(name)``."""
+    summed = triplets.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return summed.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
