@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, pack, raw_texts, shuffle_partitions, unpack
+from .common import LOWER, map_batches, materialize, pack, raw_texts, shuffle_partitions, unpack
 
 #: A block is closed at this many words; one document is never cut.
 BLOCK_WORDS = 1_200_000
@@ -99,7 +99,7 @@ def build_blocks(docs: DataFrame, lower: bool, id_col: str = "doc_id", text_col:
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(run, BLOCK_SCHEMA), "blocks")
+    return materialize(map_batches(rows, run, BLOCK_SCHEMA), "blocks")
 
 
 def shard_count(blocks: DataFrame, keys_per_word: float) -> int:
@@ -109,7 +109,7 @@ def shard_count(blocks: DataFrame, keys_per_word: float) -> int:
 
 def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's keys begin in sorted uint64 keys: shards are equal ranges of the keys' upper half."""
-    lows = np.array([(s << 32) // shards + (((s << 32) % shards) > 0) for s in range(shards)], np.uint64) << np.uint64(32)
+    lows = ((np.arange(shards, dtype=np.uint64) << np.uint64(32)) + np.uint64(shards - 1)) // np.uint64(shards) << np.uint64(32)
     return np.append(np.searchsorted(keys, lows), len(keys))
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts, shuffle_partitions
+from .common import caches, map_batches, materialize, raw_texts, shuffle_partitions
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: A piece is closed at this many tokens, always after a whole turn.
@@ -105,6 +105,7 @@ class ChatTokenizer:
 
 
 _tokenizers: dict[int, ChatTokenizer] = {}
+caches[__name__] = _tokenizers.clear
 
 
 def _tokenizer(spec) -> ChatTokenizer:
@@ -177,7 +178,7 @@ def format_conversations(turns: DataFrame, spec, trained_role: str = "assistant"
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    pieces = rows.mapInArrow(assemble, PIECE_SCHEMA)
+    pieces = map_batches(rows, assemble, PIECE_SCHEMA)
     return materialize(pieces, "chat-pieces") if stored else pieces
 
 
@@ -229,9 +230,9 @@ def digest_conversations(pieces: DataFrame, spec) -> DataFrame:
             yield flush()
 
     columns = ["conv_id", "token_ids", "loss_mask"]
-    whole = pieces.join(side, marked, "left_anti").select(*columns).mapInArrow(read, DIGEST_SCHEMA)
+    whole = map_batches(pieces.join(side, marked, "left_anti").select(*columns), read, DIGEST_SCHEMA)
     spread = pieces.join(side, marked, "left_semi").repartition("conv_id").sortWithinPartitions("conv_id", "piece").select(*columns)
-    return whole.unionByName(spread.mapInArrow(read, DIGEST_SCHEMA))
+    return whole.unionByName(map_batches(spread, read, DIGEST_SCHEMA))
 
 
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

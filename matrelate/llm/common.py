@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: What Arrow batches hold at most, so that workers' memory does not follow the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+#: Functions that empty what a module remembers between tasks, by module.
+caches: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches; a worker keeps the caches of one operator at a time."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    owner = run.__module__
+
+    def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(guarded, schema)
+
+
+def claim(owner: str) -> None:
+    """Empty the caches of other operators that this worker has run before."""
+    global _owner
+    if owner != _owner:
+        for module, clear in caches.items():
+            if module != owner:
+                clear()
+        _owner = owner
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which a worker that lives on would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -104,7 +150,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of byte strings; remembers the first ``bound`` it is asked for."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 

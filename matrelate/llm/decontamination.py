@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pack, raw_texts, unpack
+from .common import map_batches, materialize, pack, raw_texts, unpack
 
 #: Lower-cases A-Z and blanks out what is not part of a word.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: A block is closed at this many words.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Test texts are sent to the blocks in parts of at most this many bytes.
 PART_BYTES = 32 << 20
 
@@ -98,7 +98,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield close()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(source.mapInArrow(blocks, INDEX_SCHEMA), "postings")
+    return materialize(map_batches(source, blocks, INDEX_SCHEMA), "postings")
 
 
 INDEX_NAMES = [f.split()[0] for f in INDEX_SCHEMA.split(", ")]
@@ -181,7 +181,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, reach: int | No
     found = None
     for k in range(n_parts):
         rows = [(r["i"], r["t"].encode()) for r in source.where(part == k).distinct().collect()]  # PART_BYTES at most, on average
-        hits = index.mapInArrow(_searcher(spark.sparkContext.broadcast(Windows(rows, window)), reach), HIT_SCHEMA)
+        hits = map_batches(index, _searcher(spark.sparkContext.broadcast(Windows(rows, window)), reach), HIT_SCHEMA)
         found = hits if found is None else found.unionByName(hits)
     if n_parts > 1:
         found = _merged(found)

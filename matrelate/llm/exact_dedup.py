@@ -39,9 +39,11 @@ class DigestIndex:
         self.path = path or scratch_path(spark, "digests")
         self.runs: list[str] = []
         self.level: str | None = None
+        self.writes = 0
 
     def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.path}/{name}"
+        self.writes += 1
+        path = f"{self.path}/{name}-{self.writes}"
         df.write.option("parquet.bloom.filter.enabled#digest", "true").option("compression", "zstd").parquet(path)
         return path
 
@@ -49,11 +51,11 @@ class DigestIndex:
         """Write one sorted run file per input split; returns the flushed entries (digest, id)."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         entries = docs.select(self.digest(text).alias("digest"), F.col(id_col).alias("id")).sortWithinPartitions("digest")
-        self.runs.append(self._write(entries, f"run-{len(self.runs)}"))
+        self.runs.append(self._write(entries, "run"))
         return self.spark.read.parquet(self.runs[-1])
 
     def compact(self) -> DataFrame:
-        """Merge all runs and the present level; one entry per digest: digest, id, n."""
+        """Merge all runs and the present level to a new level; one entry per digest: digest, id, n."""
         parts = [self.spark.read.parquet(p).select("digest", "id", F.lit(1).cast("long").alias("n")) for p in self.runs]
         if self.level:
             parts.append(self.spark.read.parquet(self.level))
@@ -61,7 +63,8 @@ class DigestIndex:
         for p in parts[1:]:
             merged = merged.unionByName(p)
         merged = merged.groupBy("digest").agg(self.keep("id").alias("id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
-        self.level = self._write(merged, f"level-{len(self.runs)}")
+        self.level = self._write(merged, "level")
+        self.runs = []
         return self.entries()
 
     def entries(self) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, materialize, raw_texts
+from .common import LOWER, WordHashes, caches, map_batches, materialize, raw_texts
 
 BUCKETS = 10_000
 TARGET_DOCS = 200_000
@@ -37,6 +37,7 @@ _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x200-9a-z\x80-\xff]+")
 
 
 _hashes = WordHashes()
+caches[__name__] = _hashes.clear
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -66,7 +67,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
                     total[1] += got
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], names=["b", "raw", "target"])
 
-    sums = rows.mapInArrow(count, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = map_batches(rows, count, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums.collect():
         raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
@@ -87,7 +88,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 11, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in got], pa.int64()), pa.array(weights, pa.float64())], names=["doc_id", "n_features", "log_weight"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, n_features long, log_weight double")
+    scored = map_batches(rows, run, "doc_id long, n_features long, log_weight double")
     even = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     return materialize(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(even))), "importance")
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_texts
+from .common import map_batches, raw_texts
 
 UNKNOWN = "und"
 TRAIN_DOCS = 3000
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
 
     sample = rows.where(chosen).select("text", "lang").repartition(4)
     parts: dict[str, list] = defaultdict(list)
-    for r in sample.mapInArrow(count, "lang string, keys binary, n binary").collect():
+    for r in map_batches(sample, count, "lang string, keys binary, n binary").collect():
         parts[r["lang"]].append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.int64)))
     return _model(parts, totals)
 
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, text
                 )
 
     schema = T.StructType([source.schema["record"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def grouped(texts: list, size: int) -> Iterator[tuple[int, list]]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .blocks import answered, ask, build_blocks, open_block, rows_of, shard_bounds, shard_count, with_answers
-from .common import mix64, pack, unpack
+from .common import map_batches, mix64, pack, unpack
 from .elias_fano import NgramTrie
 
 PRIOR = 300.0
@@ -195,7 +195,7 @@ def score_documents(docs: DataFrame, is_training: Callable[[list], np.ndarray],
             ]
             yield pa.RecordBatch.from_arrays(cells, names=["block", "shard", "keys", "counts"])
 
-    counted = ask(blocks.mapInArrow(vocabulary, VOCABULARY), lambda shard, rows: _count_words(shard, rows, shards), "vocabulary")
+    counted = ask(map_batches(blocks, vocabulary, VOCABULARY), lambda shard, rows: _count_words(shard, rows, shards), "vocabulary")
     parts = [unpack(r["answer"], np.int64) for r in counted.where("block < 0").collect()]  # two numbers a shard
     n_tokens, n_words = (int(sum(p[k] for p in parts)) for k in (0, 1))
     known = with_answers(blocks, vocabulary_counts=counted)
@@ -204,13 +204,13 @@ def score_documents(docs: DataFrame, is_training: Callable[[list], np.ndarray],
         for row in rows_of(batches):
             yield from _Bigrams(row, _training(row, is_training), n_tokens, shards).send()
 
-    answers = ask(known.mapInArrow(bigrams, BIGRAMS), lambda shard, rows: _answer_bigrams(rows, n_tokens, n_words, prior), "bigrams")
+    answers = ask(map_batches(known, bigrams, BIGRAMS), lambda shard, rows: _answer_bigrams(rows, n_tokens, n_words, prior), "bigrams")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             yield _score_block(row, _Bigrams(row, _training(row, is_training), n_tokens, shards), n_tokens, n_words, prior)
 
-    return with_answers(known, bigram_codes=answers).mapInArrow(score, OUT_SCHEMA)
+    return map_batches(with_answers(known, bigram_codes=answers), score, OUT_SCHEMA)
 
 
 def _score_block(row: dict, b: _Bigrams, n_tokens: int, n_words: int, prior: float) -> pa.RecordBatch:

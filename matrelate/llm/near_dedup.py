@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, materialize, mix64, raw_texts, small
+from .common import LOWER, WordHashes, caches, map_batches, materialize, mix64, raw_texts, small
 from .components import connected_components
 
 BINS = 128
@@ -49,6 +49,7 @@ BLOCK_HASHES = 100_000
 MARGIN = 0.2
 
 _hashes = WordHashes()
+caches[__name__] = _hashes.clear
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 ROW_SCHEMA = "doc_id long, n_shingles long, class binary, bands array<long>"
@@ -130,7 +131,7 @@ def sign(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(run, ROW_SCHEMA), "signed")
+    return materialize(map_batches(rows, run, ROW_SCHEMA), "signed")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +151,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
 
     rep = small(wanted.select(F.col("rep").alias("wanted_id")).distinct())
     rows = docs.join(rep, F.col(id_col).cast("long").eqNullSafe(F.col("wanted_id")), "left_semi").select(F.col(text_col).alias("text"))
-    found = rows.mapInArrow(run, SET_SCHEMA).join(wanted.select("class").distinct(), "class", "left_semi")
+    found = map_batches(rows, run, SET_SCHEMA).join(wanted.select("class").distinct(), "class", "left_semi")
     return materialize(found.groupBy("class").agg(F.min("signature").alias("signature"), F.min("hashes").alias("hashes")), "sets")
 
 
@@ -170,7 +171,7 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
             good = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return map_batches(pairs, run, "a binary, b binary")
 
 
 class _Forest(dict):
@@ -253,7 +254,7 @@ def _complete(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links]), pa.array([y for _, y in links])], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a binary, b binary").distinct()
+    return map_batches(placed, run, "a binary, b binary").distinct()
 
 
 def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

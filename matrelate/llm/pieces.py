@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_texts
+from .common import caches, map_batches, raw_texts
 
 SPACE = "▁"
 #: Segments remembered by a worker; later ones are computed again for each batch.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 400_000
 #: Token pairs remembered by a worker.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 #: Texts are encoded in groups of about this many bytes.
 GROUP_BYTES = 2 << 20
 
@@ -290,6 +290,7 @@ class PieceCodec:
 
 
 _codecs: dict[str, PieceCodec] = {}
+caches[__name__] = _codecs.clear
 
 
 def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -330,4 +331,4 @@ def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None =
     schema = T.StructType(
         [nested.schema["record"], T.StructField("ids", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]
     )
-    return nested.mapInArrow(run, schema)
+    return map_batches(nested, run, schema)

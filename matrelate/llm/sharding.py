@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions
+from .common import map_batches, shuffle_partitions
 
 #: Bytes charged for a record besides its text.
 RECORD_BYTES = 16
@@ -82,7 +82,7 @@ def shuffle_into_shards(
             )
 
     schema = T.StructType([scattered.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return scattered.mapInArrow(deal, schema)
+    return map_batches(scattered, deal, schema)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Block, answered, ask, build_blocks, open_block, rows_of, shard_bounds, shard_count, with_answers
-from .common import mix64, pack, unpack
+from .common import map_batches, mix64, pack, unpack
 
 #: Words of an anchor.
 GRAM = 10
@@ -153,7 +153,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             keys, many, _ = _distinct(seq.at(np.unique(anchors), min(GRAM, length)))
             yield from _send(block.number, keys, many, shards)
 
-    anchors = ask(blocks.mapInArrow(seeds, SENT), _repeated, "anchors")
+    anchors = ask(map_batches(blocks, seeds, SENT), _repeated, "anchors")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -162,7 +162,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             yield from _send(block.number, keys, many, shards)
 
     seeded = with_answers(blocks, anchors=anchors)
-    matches = ask(seeded.mapInArrow(extend, SENT), _repeated, "windows")
+    matches = ask(map_batches(seeded, extend, SENT), _repeated, "windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -171,7 +171,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             repeated = answered(row, "matches", np.uint8)
             yield _without(block, joined[repeated[place] > 0] if len(place) else joined, length)
 
-    return with_answers(seeded, matches=matches).mapInArrow(cut, OUT_SCHEMA)
+    return map_batches(with_answers(seeded, matches=matches), cut, OUT_SCHEMA)
 
 
 def _without(block: Block, starts: np.ndarray, length: int) -> pa.RecordBatch:
