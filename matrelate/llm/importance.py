@@ -31,6 +31,7 @@ from .common import LOWER, WordHashes, caches, map_batches, materialize, raw_tex
 
 BUCKETS = 10_000
 TARGET_DOCS = 200_000
+REPEATED = np.uint64(1)
 #: Histogram bins of one refinement, and the keys that are finally compared one by one.
 BINS, LAST = 4096, 10_000
 _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x200-9a-z\x80-\xff]+")
@@ -41,10 +42,14 @@ caches[__name__] = _hashes.clear
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Buckets of the text's unigrams, then bigrams; words and runs of other signs are tokens."""
+    """Buckets of the text's unigrams, then bigrams; words and runs of other signs are tokens.
+
+    A token after itself is one and the same bigram whatever the token.
+    """
     tokens = _TOKENS.findall(text.translate(LOWER)) if text else []
     h = _hashes.of(tokens)
     both = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    both[h[:-1] == h[1:]] = REPEATED
     both ^= both >> np.uint64(29)
     return (np.concatenate([h, both]) % np.uint64(BUCKETS)).astype(np.int64)
 
