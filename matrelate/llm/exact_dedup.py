@@ -83,6 +83,11 @@ def deduplicate(docs: DataFrame, keep: str = "min", digest=sha256, id_col: str =
     ``keep`` says whether the smallest or the largest id of equal texts stays.
     Of rows that share the winning id, all are marked kept.
     """
+    return _resolve(docs, keep, digest, id_col, text_col)[1]
+
+
+def _resolve(docs: DataFrame, keep: str, digest, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The flushed entries (digest, id), and the result of ``deduplicate``."""
     spark = docs.sparkSession
     index = DigestIndex(spark, keep=keep, digest=digest)
     flushed = index.flush(docs, id_col, text_col)
@@ -104,7 +109,7 @@ def deduplicate(docs: DataFrame, keep: str = "min", digest=sha256, id_col: str =
     if not clashing.isEmpty():
         apart = hit_texts.withColumnRenamed("id", "doc_id").join(clashing, "digest", "left_semi").join(verified, ["digest", "text"])
         found = found.join(clashing, "digest", "left_anti").select("doc_id", "digest", "id", "n").unionByName(apart.select("doc_id", "digest", "id", "n"))
-    return found.select(
+    return flushed, found.select(
         "doc_id",
         "digest",
         F.col("id").alias("keep_id"),
@@ -115,17 +120,18 @@ def deduplicate(docs: DataFrame, keep: str = "min", digest=sha256, id_col: str =
 
 def drop_duplicates(docs: DataFrame, keep: str = "min", digest=sha256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each distinct text; of rows equal in id and text any one stays."""
-    found = deduplicate(docs, keep, digest, id_col, text_col)
+    flushed, found = _resolve(docs, keep, digest, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).alias("id"), digest(text).alias("digest"))
 
-    def among(side: DataFrame, how: str) -> DataFrame:
-        return rows.join(side, rows["id"].eqNullSafe(side["other_id"]) & (rows["digest"] == side["other_digest"]), how)
+    def among(left: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        return left.join(side, left["id"].eqNullSafe(side["other_id"]) & (left["digest"] == side["other_digest"]), how)
 
-    key = [F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest")]
-    lost = found.where(~F.col("kept")).select(*key).distinct()
-    repeated = found.where("kept").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("other_id", "other_digest")
+    # no aggregation above the join on digests, so that Spark may split the partition of a large group
+    lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"))
+    left = among(rows, lost, "left_anti")
+    repeated = flushed.groupBy(F.col("id").alias("other_id"), F.col("digest").alias("other_digest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     if repeated.isEmpty():
-        return among(lost, "left_anti").select("record.*")
-    once = among(lost.unionByName(repeated), "left_anti").select("record")
-    return once.unionByName(among(repeated, "left_semi").dropDuplicates(["id", "digest"]).select("record")).select("record.*")
+        return left.select("record.*")
+    once = among(left, repeated, "left_anti").select("record")
+    return once.unionByName(among(left, repeated, "left_semi").dropDuplicates(["id", "digest"]).select("record")).select("record.*")

@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact_dedup, importance, language_id, lm_scoring, near_dedup, pieces, sharding, substring_dedup
@@ -65,8 +65,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _remainder(n: int):
-    return F.crc32(F.col("doc_id").cast("string")) % n
+def _held_out(n: int) -> Column:
+    """Whether crc32 of the id as text leaves 2 over n; rows without an id are not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == 2, F.lit(False))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = _remainder(4) == 2
+    held_out = _held_out(4)
     model = language_id.fit(docs.where(~held_out))
     out = language_id.identify(docs.select("doc_id", "text"), model, carry=["doc_id"])
     return out.select("record.doc_id", "lang_pred", "score").withColumn("held_out", held_out)
@@ -90,12 +91,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _not_held_out(ids: list) -> np.ndarray:
-    return np.array([i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i in ids], bool)
+    return np.array([i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i in ids], bool)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_scoring.score_documents(_table(spark, sf_dir, "documents"), _not_held_out)
-    return out.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+    return out.withColumn("held_out", _held_out(7))
 
 
 def tokenizer_path(name: str) -> str:
