@@ -44,7 +44,7 @@ BINS = 128
 BAND_ROWS = 4
 BANDS = BINS // BAND_ROWS
 #: Shingle hashes of the members of a bucket that one task compares at once.
-BLOCK_HASHES = 100_000
+BLOCK_HASHES = 50_000
 #: Signature agreement below which a pair is not confirmed: over five standard deviations under the threshold.
 MARGIN = 0.2
 
