@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    target = Path(tempfile.mkdtemp(prefix="matrelate-zip-")).resolve() / "matrelate.zip"
+    folder = Path(tempfile.mkdtemp(prefix="matrelate-zip-")).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = folder / "matrelate.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, f"matrelate/{p.relative_to(PACKAGE)}")

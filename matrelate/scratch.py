@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` where it is set; else a temporary folder made once a session (local use and tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("matrelate.scratch", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="matrelate-")
+        folder = tempfile.mkdtemp(prefix="matrelate-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = "file://" + folder
         spark.conf.set("matrelate.scratch", place)
     return place.rstrip("/")
 
