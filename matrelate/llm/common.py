@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,7 +32,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("matrelate.scratch", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="matrelate-")
+        folder = tempfile.mkdtemp(prefix="matrelate-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("matrelate.scratch", root)
     return root
 
