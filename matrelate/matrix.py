@@ -230,7 +230,10 @@ def solve(solver, *matrices: Matrix, distributed: bool | None = None, threshold:
     if distributed is None:
         distributed = max(m.rows for m in matrices) > LOCAL_LIMIT
     if distributed:
-        return solver(*[replace(m.settled(), threshold=threshold) for m in matrices], **options)
+        with scratch.folder(spark):
+            out = solver(*[replace(m.settled(), threshold=threshold) for m in matrices], **options)
+            kept = lambda x: replace(x, df=scratch.settle(x.df, keep=True)) if isinstance(x, Matrix) else x
+            return tuple(map(kept, out)) if isinstance(out, tuple) else kept(out)
     out = solver(*[Dense(m.to_numpy(), threshold) for m in matrices], **options)
     back = lambda x: Matrix.from_numpy(spark, x.a) if isinstance(x, Dense) else x
     return tuple(map(back, out)) if isinstance(out, tuple) else back(out)

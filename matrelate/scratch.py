@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -21,13 +22,32 @@ def root(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Folders of the computations that are under way, innermost last.
+_open: list[str] = []
+
+
 def path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_open[-1] if _open else root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def folder(spark: SparkSession):
+    """Steps settled inside go to a folder of their own, which is deleted at the end."""
+    target = f"{root(spark)}/run-{uuid.uuid4().hex}"
+    _open.append(target)
+    try:
+        yield
+    finally:
+        _open.remove(target)
+        delete(spark, target)
+
 
+def settle(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
+    """Write and read back: cuts the lineage of a loop, and survives lost executors.
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write and read back: cuts the lineage of a loop, and survives lost executors."""
-    target = path(df.sparkSession, name)
+    ``keep`` writes outside the folder of the computation under way.
+    """
+    target = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}" if keep else path(df.sparkSession, name)
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
