@@ -23,6 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
+#: Digests hardly repeat in a file, and a dictionary would take the Bloom filter's place.
+FILES = {
+    "compression": "zstd",
+    "parquet.bloom.filter.enabled#digest": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.enable.dictionary#digest": "false",
+}
 #: Hit digests up to this number are broadcast as a filter (40 bytes each); above it the texts are joined by a shuffle.
 BROADCAST_HITS = 500_000
 
@@ -44,7 +51,7 @@ class DigestIndex:
     def _write(self, df: DataFrame, name: str) -> str:
         self.writes += 1
         path = f"{self.path}/{name}-{self.writes}"
-        df.write.option("parquet.bloom.filter.enabled#digest", "true").option("compression", "zstd").parquet(path)
+        df.write.options(**FILES).parquet(path)
         return path
 
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,6 +77,16 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.read.parquet(self.level)
 
+    def find(self, texts: list[str]) -> DataFrame:
+        """Entries of a few given texts, from runs and level alike; files whose sorted range or filter excludes them are skipped."""
+        probe = self.spark.createDataFrame([(t,) for t in texts], "text string").select(self.digest(F.col("text")).alias("d"))
+        wanted = F.col("digest").isin([bytes(r["d"]) for r in probe.collect()])
+        parts = [self.spark.read.parquet(p).where(wanted).select("digest", "id") for p in [*self.runs, *([self.level] if self.level else [])]]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        return found
+
     def lookup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """For each row of a new batch whether its digest is indexed, and under which id; the batch is not added."""
         text = F.coalesce(F.col(text_col), F.lit(""))

@@ -54,6 +54,7 @@ def test_index_over_batches(spark):
     index.flush(frame(spark, [(1, "b"), (7, "c")]))
     assert {r["id"]: r["n"] for r in index.compact().collect()} == {5: 1, 1: 2, 7: 1}
     index.flush(frame(spark, [(0, "c")]))
+    assert sorted(r["id"] for r in index.find(["c", "a", "none"]).collect()) == [0, 5, 7]
     index.compact()
     found = index.lookup(frame(spark, [(100, "c"), (101, "z")]))
     assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in found.collect()} == {100: (0, 2), 101: (None, None)}
