@@ -829,3 +829,21 @@ def _parquet(spark, d):
     path = _scratch(spark, "matrix")
     binary.write_parquet(tables.sp(spark, d), path)
     return rounded(binary.read_parquet(spark, path))
+
+
+@_table_query("market_lines", ["SP"], "SELECT i || ' ' || j || ' ' || v AS value FROM SP")
+def _market_lines(spark, d):
+    return matrix_market.lines(tables.sp(spark, d))
+
+
+@_table_query("information", ["SP"], "SELECT 100::BIGINT AS rows, 100::BIGINT AS columns, count(*) AS entries, count(*) / 10000.0::DOUBLE AS fill FROM SP")
+def _information(spark, d):
+    found = aggregate.information(tables.sp(spark, d).settled())
+    return spark.createDataFrame([(found["rows"], found["columns"], found["entries"], found["fill"])], "rows long, columns long, entries long, fill double")
+
+
+@_table_query("sparsify", ["DD"], "SELECT i, j, round(v, 6) + 0.0 AS v FROM DD WHERE abs(v) > 0.1")
+def _sparsify(spark, d):
+    """Through a dense array and back, entries above a threshold only."""
+    array = tables.dd(spark, d).to_numpy()
+    return rounded(Matrix.from_numpy(spark, np.where(np.abs(array) > 0.1, array, 0.0)))
