@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix
+from ..operators import aggregate
 
 #: Nations, supplier classes and part classes: dimensions that do not grow with the data.
 NATIONS, SIDE, REGIONS = 25, 100, 5
@@ -52,8 +53,7 @@ def ns(spark: SparkSession, sf_dir: str) -> Matrix:
 def _scaled(spark, sf_dir, off: float) -> DataFrame:
     """NS over its 1-norm, times ``off``."""
     m = ns(spark, sf_dir).settled()
-    norm = m.df.groupBy("j").agg(F.sum(F.abs("v")).alias("s")).agg(F.max("s").alias("norm"))
-    return m.df.crossJoin(F.broadcast(norm)).select("i", "j", (F.col("v") / F.col("norm") * off).alias("v"))  # norm is one row
+    return m.df.select("i", "j", (F.col("v") / aggregate.norm1(m) * off).alias("v"))
 
 
 def dd(spark: SparkSession, sf_dir: str) -> Matrix:
@@ -77,8 +77,9 @@ def rr(spark: SparkSession, sf_dir: str) -> Matrix:
     per = m.df.join(a, "i").join(b, "j").groupBy("ri", "rj").agg(F.sum("v").alias("v"))
     both = per.select(F.col("ri").alias("i"), F.col("rj").alias("j"), "v").unionByName(per.select(F.col("rj").alias("i"), F.col("ri").alias("j"), "v"))
     both = both.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    total = both.agg(F.sum("v").alias("t"))
-    return Matrix.of(both.crossJoin(F.broadcast(total)).select("i", "j", (F.col("v") / F.col("t") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("v")), REGIONS)  # total is one row
+    summed = Matrix.of(both, REGIONS).settled()
+    one = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    return summed.with_df(summed.df.select("i", "j", (F.col("v") / aggregate.grand_sum(summed) + one).alias("v")))
 
 
 def ue(spark: SparkSession, sf_dir: str) -> DataFrame:
