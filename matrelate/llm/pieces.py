@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ from .common import caches, map_batches, raw_texts
 
 SPACE = "▁"
 #: Segments remembered by a worker; later ones are computed again for each batch.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 300_000
 #: Token pairs remembered by a worker.
-PAIRS = 1_000_000
+PAIRS = 400_000
 #: Texts are encoded in groups of about this many bytes.
 GROUP_BYTES = 2 << 20
 
@@ -289,14 +290,20 @@ class PieceCodec:
         return text[1:] if text.startswith(" ") else text
 
 
+def _id_arrays(joined: list[str], counts: list[int]) -> pa.Array:
+    """Lists of integers from comma-joined ones."""
+    values = np.fromstring(",".join(filter(None, joined)), np.int32, sep=",") if any(counts) else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
+
+
 _codecs: dict[str, PieceCodec] = {}
 caches[__name__] = _codecs.clear
 
 
-def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``record`` (the columns in ``carry``, by default all), with ``ids`` (decimal, comma-joined), ``n_tokens`` and ``decoded``.
+def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None = None, text_col: str = "text", as_array: bool = False) -> DataFrame:
+    """``record`` (the columns in ``carry``, by default all), with ``ids``, ``n_tokens`` and ``decoded``.
 
-    ``split(ids, ',')`` gives the ids as an array.  The model is read by the
+    ``ids`` is decimal text joined by commas, or an array of integers.  The model is read by the
     driver and sent to the workers (half a megabyte).
     """
     spark = docs.sparkSession
@@ -317,11 +324,13 @@ def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None =
                     size += len(texts[hi] or b"")
                     hi += 1
                 got = codec.run([(t or b"").decode(errors="replace") for t in texts[lo:hi]])
+                joined = [i for i, _ in got]
+                counts = [i.count(",") + 1 if i else 0 for i in joined]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.array([i for i, _ in got], pa.string()),
-                        pa.array([i.count(",") + 1 if i else 0 for i, _ in got], pa.int64()),
+                        _id_arrays(joined, counts) if as_array else pa.array(joined, pa.string()),
+                        pa.array(counts, pa.int64()),
                         pa.array([d for _, d in got], pa.string()),
                     ],
                     names=["record", "ids", "n_tokens", "decoded"],
@@ -329,6 +338,6 @@ def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None =
                 lo = hi
 
     schema = T.StructType(
-        [nested.schema["record"], T.StructField("ids", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]
+        [nested.schema["record"], T.StructField("ids", T.ArrayType(T.IntegerType()) if as_array else T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]
     )
     return map_batches(nested, run, schema)
