@@ -111,9 +111,22 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
 BROADCAST_IDS = 4_000_000
 
 
-def small(ids: DataFrame) -> DataFrame:
+def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     """A table of single ids, marked for broadcast if a count shows that it is small enough."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+
+
+#: Keys of rows (an id and a digest, about 100 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without those whose columns ``on``, nulls being equal, are a row of ``gone``."""
+    other = gone.select(*[F.col(c).alias(f"gone_{c}") for c in on])
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"gone_{c}"))
+    return rows.join(small(other, BROADCAST_KEYS), same, "left_anti")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, pack, raw_texts, unpack
+from .common import map_batches, materialize, pack, raw_texts, unpack, without
+from .exact_dedup import sha256
 
 #: Lower-cases A-Z and blanks out what is not part of a word.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -40,16 +41,16 @@ BLOCK_WORDS = 1_000_000
 #: Test texts are sent to the blocks in parts of at most this many bytes.
 PART_BYTES = 32 << 20
 
-INDEX_SCHEMA = "block long, doc_ids array<long>, starts binary, n_words binary, terms binary, offsets binary, positions binary"
-HIT_SCHEMA = "block long, doc int, doc_id long, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>, near_item_ids array<string>"
+INDEX_SCHEMA = "block long, doc_ids array<long>, digests array<binary>, starts binary, n_words binary, terms binary, offsets binary, positions binary"
+HIT_SCHEMA = "block long, doc int, doc_id long, digest binary, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>, near_item_ids array<string>"
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: one row per block of documents.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """The stored index: one row per block of documents, with their digests if one is given.
 
     Positions count words from the start of the block, with one empty position
     after each document so that no phrase runs from one into the next.
@@ -58,7 +59,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         serial = count(task << 24)
-        ids, codes, vocabulary, total = [], [], defaultdict(count().__next__), 0
+        ids, digests, codes, vocabulary, total = [], [], [], defaultdict(count().__next__), 0
 
         def close() -> pa.RecordBatch:
             lengths = np.array([len(c) for c in codes], np.int32)
@@ -76,28 +77,31 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             cells = [
                 next(serial),
                 ids,
+                digests,
                 pack(starts),
                 pack(lengths),
                 zstandard.ZstdCompressor(level=1).compress(b" ".join(vocabulary)),
                 pack(sizes.astype(np.uint32)),
                 pack(gaps.astype(np.uint32)),
             ]
-            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names=INDEX_NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+            for doc_id, text, key in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist()):
                 found = words(text)
                 ids.append(doc_id)
+                digests.append(key)
                 codes.append(np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found)))
                 total += len(found)
                 if total >= BLOCK_WORDS:
                     yield close()
-                    ids, codes, vocabulary, total = [], [], defaultdict(count().__next__), 0
+                    ids, digests, codes, vocabulary, total = [], [], [], defaultdict(count().__next__), 0
         if ids:
             yield close()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = F.lit(None).cast("binary") if digest is None else digest
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), known.alias("digest"))
     return materialize(map_batches(source, blocks, INDEX_SCHEMA), "postings")
 
 
@@ -169,7 +173,7 @@ class Postings:
 
 
 def search(index: DataFrame, items: DataFrame, window: int = 10, reach: int | None = None, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, spans of hit words [start, end), item_ids, near_item_ids.
+    """Per document: doc_id, digest (null unless indexed), n_words, spans of hit words [start, end), item_ids, near_item_ids.
 
     ``reach`` asks for proximity matches besides the exact ones.
     """
@@ -229,12 +233,13 @@ def _search_block(row: dict, w: Windows, reach: int | None) -> pa.RecordBatch:
         pa.array([row["block"]] * n, pa.int64()),
         pa.array(range(n), pa.int32()),
         pa.array(row["doc_ids"], pa.int64()),
+        pa.array(row["digests"], pa.binary()),
         pa.array(lengths),
         pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         pa.array([sorted(exact.get(d, ())) for d in range(n)], pa.list_(pa.string())),
         pa.array([sorted(close.get(d, ())) for d in range(n)], pa.list_(pa.string())),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "doc", "doc_id", "n_words", "spans", "item_ids", "near_item_ids"])
+    return pa.RecordBatch.from_arrays(columns, names=["block", "doc", "doc_id", "digest", "n_words", "spans", "item_ids", "near_item_ids"])
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -242,6 +247,7 @@ def _merged(found: DataFrame) -> DataFrame:
     gather = lambda c: F.flatten(F.collect_list(c))
     both = found.groupBy("block", "doc").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("digest").alias("digest"),
         F.first("n_words").alias("n_words"),
         F.array_sort(gather("spans")).alias("spans"),
         F.array_sort(F.array_distinct(gather("item_ids"))).alias("item_ids"),
@@ -257,6 +263,15 @@ def _merged(found: DataFrame) -> DataFrame:
     return both.withColumn("spans", united)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text has an exact match; equal texts are judged alike, ids play no part."""
+    digest = sha256(F.coalesce(F.col(text_col), F.lit("")))
+    found = search(build_index(docs, id_col, text_col, digest), items, window)
+    gone = materialize(found.where(F.size("spans") > 0).select("digest").distinct(), "contaminated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), digest.alias("digest"))
+    return without(rows, gone, ["digest"]).select("record.*")
+
+
 def n_hit(spans="spans"):
     """Number of words inside the spans."""
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -34,11 +34,12 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, caches, map_batches, materialize, mix64, raw_texts, small
+from .common import LOWER, WordHashes, caches, map_batches, materialize, mix64, raw_texts, small, without
 from .components import connected_components
+from .exact_dedup import sha256
 
 BINS = 128
 BAND_ROWS = 4
@@ -52,7 +53,7 @@ _hashes = WordHashes()
 caches[__name__] = _hashes.clear
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-ROW_SCHEMA = "doc_id long, n_shingles long, class binary, bands array<long>"
+ROW_SCHEMA = "doc_id long, digest binary, n_shingles long, class binary, bands array<long>"
 SET_SCHEMA = "class binary, signature binary, hashes binary"
 
 
@@ -107,8 +108,8 @@ def _class(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def sign(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows: doc_id, n_shingles, class (null for an empty set), bands."""
+def sign(docs: DataFrame, size: int, id_col: str, text_col: str, digest: Column | None = None) -> DataFrame:
+    """Stored rows: doc_id, digest (null unless given), n_shingles, class (null for an empty set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +124,16 @@ def sign(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, len(sets)),
+                        batch.column(2).slice(lo, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_class(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "class", "bands"],
+                    names=["doc_id", "digest", "n_shingles", "class", "bands"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = F.lit(None).cast("binary") if digest is None else digest
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), known.alias("digest"))
     return materialize(map_batches(rows, run, ROW_SCHEMA), "signed")
 
 
@@ -259,10 +262,48 @@ def _complete(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
 
 def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of its group), kept."""
-    rows = sign(docs, size, id_col, text_col)
+    rows, named = _resolve(docs, size, percent, id_col, text_col)
+    named = named.select("class", F.col("one.doc_id").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row for each group: that of the smallest id, and of equal ids that of the smallest digest.
+
+    Rows are told apart by id and text, so null and repeated ids lose the
+    judged rows only; of rows equal in both any one stays.
+    """
+    rows, named = _resolve(docs, size, percent, id_col, text_col, sha256(F.coalesce(F.col(text_col), F.lit(""))))
+    judged = rows.select("doc_id", "digest", "class").join(named, "class")
+    first = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("digest") == F.col("one.digest"))
+    # only classes of several rows can hold one row twice
+    judged = materialize(judged.select("doc_id", "digest", "copies", first.alias("first")).where("not first or copies > 1"), "judged")
+    key = ["doc_id", "digest"]
+    source = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).cast("long").alias("doc_id"), sha256(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")
+    )
+    left = without(source, judged.where("not first").select(*key).distinct(), key)
+    repeated = materialize(judged.where("first").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeated")
+    if repeated.isEmpty():
+        return left.select("record.*")
+    once = without(left, repeated, key).select("record")
+    several = repeated.select(*[F.col(c).alias(f"other_{c}") for c in key])
+    again = left.join(several, F.col("doc_id").eqNullSafe(F.col("other_doc_id")) & (F.col("digest") == F.col("other_digest")), "left_semi")
+    return once.unionByName(again.dropDuplicates(key).select("record")).select("record.*")
+
+
+def _resolve(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, digest: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and per class: the number of its rows (copies) and the first row of its group (one: doc_id, digest)."""
+    rows = sign(docs, size, id_col, text_col, digest)
     # equal sets have equal signatures, so any row's will do
     classes = rows.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")
+        F.min("doc_id").alias("rep"),
+        F.min("n_shingles").alias("n"),
+        F.min("bands").alias("bands"),
+        F.count(F.lit(1)).alias("copies"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("one"),
     )
     classes = materialize(classes, "classes")
 
@@ -286,9 +327,6 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     missed = materialize(_complete(members, roots, sets, percent), "missed")
     if not missed.isEmpty():
         roots = connected_components(links.unionByName(missed))
-    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "root").select("class", "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "copies", "one", F.coalesce("root", "class").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("one").alias("one"))
+    return rows, named.drop("one").join(smallest, "root").select("class", "copies", "one")

@@ -60,3 +60,28 @@ def test_empty_corpus(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def one_edit(text, at):
+    w = text.split()
+    w[at] = "edited"
+    return " ".join(w)
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Null and repeated ids: only judged rows go, and a group keeps one row."""
+    a, b, c, d = (invented(9000 + k, 80) for k in range(4))
+    rows = [(1, a), (None, one_edit(a, 40)), (None, "clean and null"), (7, one_edit(a, 20)), (7, "clean and seven")]
+    rows += [(8, b), (8, one_edit(b, 40)), (8, one_edit(b, 20)), (None, c), (None, one_edit(c, 40))]
+    rows += [(9, d), (9, d), (9, d + " "), (None, None), (None, None), (5, ""), (5, "")]
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, frame(spark, rows), str(tmp_path)).collect()]
+    of = lambda text: [i for i, t in left if t and len(set(t.split()) & set(text.split())) > 60]
+    assert (of(a), of(b), of(c), of(d)) == ([1], [8], [None], [9])
+    clean = [(None, "clean and null"), (7, "clean and seven"), (None, None), (None, None), (5, ""), (5, "")]
+    assert [r for r in rows if r in left and r in clean] == [r for r in rows if r in clean] and len(left) == 4 + len(clean)
+
+    spark.createDataFrame([(1, " ".join(a.split()[5:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a), (None, "clean and null"), (7, "so " + a), (7, "clean and seven"), (None, None), (6, a)]
+    out = corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(None, "clean and null"), (7, "clean and seven"), (None, None)], key=str)
+    assert out.columns == frame(spark, []).columns
