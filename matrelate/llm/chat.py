@@ -6,7 +6,7 @@ in between.  The loss mask comes from prefix sums over segment lengths: +1
 where an assistant text begins, -1 where it ends.  Control strings inside
 texts are escaped reversibly, so the rendered text can be parsed back too.
 
-Turns are range-partitioned by (conversation, turn), so that a conversation
+Turns are range-partitioned by (conversation, turn, role, text), so that a conversation
 with a large share of all rows spreads over tasks.  Each task emits pieces:
 whole turns of one conversation, cut at ``PIECE_TOKENS``, numbered in order.
 
@@ -37,6 +37,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 PIECE_TOKENS = 1 << 16
 #: Longer texts are encoded in parts, which bounds the tokenizer's own buffers.
 PART_CHARS = 100_000
+#: Turns alike up to this many characters of text stay in one range; the driver draws the ranges from samples of these.
+BOUND_CHARS = 256
 #: Conversations of several pieces that are broadcast as a filter; beyond it they are found by a shuffle.
 BROADCAST_SPLIT = 500_000
 
@@ -134,7 +136,9 @@ def format_conversations(turns: DataFrame, spec, trained_role: str = "assistant"
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     order = ["conv_id", "turn", "role", "text"]
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*order)
+    # a text's beginning runs in the order of the texts, so that ties cut by a range's bound stay in order
+    spread = ["conv_id", "turn", "role", F.substring("text", 1, BOUND_CHARS)]
+    rows = rows.repartitionByRange(shuffle_partitions(spark), *spread).sortWithinPartitions(*order)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(spec)

@@ -54,6 +54,16 @@ def test_round_trip(spark, spec, monkeypatch, piece_tokens):
     assert got == expected(ROWS)
 
 
+def test_ties_over_several_partitions(spark, spec):
+    """Equal turns of different texts, short and with a long beginning in common, in the order of role and text."""
+    rows = [(1, None, ("user", "assistant")[k % 2], f"{k * 7919 % 1000:03d} said") for k in range(300)]
+    rows += [(2, 5, "assistant", "x" * (chat.BOUND_CHARS - k % 3) + str(k * 7919 % 1000)) for k in range(300)]
+    pieces = chat.format_conversations(table(spark, rows), spec)
+    assert pieces.count() > 2
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in chat.digest_conversations(pieces, spec).collect()}
+    assert got == expected(rows)
+
+
 @pytest.mark.parametrize("text", ["", "<|", "<\\|", "<\\\\|", "<<|>", SAID, "\\n\n\\", "a\\<|b"])
 def test_escapes_are_reversible(text):
     assert "<|" not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
