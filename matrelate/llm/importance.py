@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WordHashes, caches, map_batches, materialize, raw_texts
 
-BUCKETS = 10_000
+#: Of 10,000, 100,000 and 1,000,000, the number that told toxic from clean held-out texts best.
+BUCKETS = 100_000
 TARGET_DOCS = 200_000
 REPEATED = np.uint64(1)
 #: Histogram bins of one refinement, and the keys that are finally compared one by one.
@@ -65,12 +66,12 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for text, is_target in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
-                got = np.bincount(features(text), minlength=BUCKETS)
-                total[0] += got
-                if is_target:
-                    total[1] += got
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], names=["b", "raw", "target"])
+            got = [features(text) for text in raw_texts(batch.column(0))]
+            for k, of in enumerate((got, [f for f, is_target in zip(got, batch.column(1).to_pylist()) if is_target])):
+                if of:
+                    total[k] += np.bincount(np.concatenate(of), minlength=BUCKETS)
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["b", "raw", "target"])
 
     sums = map_batches(rows, count, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)

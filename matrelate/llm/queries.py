@@ -73,7 +73,7 @@ def _held_out(n: int) -> Column:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    share = labels.agg(F.avg((F.col("quality") == 1).cast("double")).alias("s")).first()["s"]
+    share = labels.agg(F.avg(good.cast("double")).alias("s")).first()["s"]
     return importance.resample(docs, labels.where(good).select("doc_id"), keep=1.0 if share is None else share)
 
 

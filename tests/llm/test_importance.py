@@ -3,7 +3,7 @@ import math
 import numpy as np
 from conftest import frame, invented
 
-from matrelate.llm import importance
+from matrelate.llm import importance, queries
 
 
 def test_kth_largest(spark, monkeypatch):
@@ -49,3 +49,11 @@ def test_tables(spark, corpus):
     out = importance.resample(docs, none, keep=1.0).collect()
     assert len(out) == len(corpus) and all(r["kept"] for r in out)
     assert importance.resample(frame(spark, []), none, keep=0.5).count() == 0
+
+
+def test_query_keeps_the_share_of_its_target(spark, tmp_path):
+    """The kept share follows good and non-toxic labels, as the target does."""
+    frame(spark, [(k, invented(k, 20)) for k in range(40)]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(k < 30), int(k < 10)) for k in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries.op6_quality(spark, str(tmp_path)).where("kept").count() == 20
