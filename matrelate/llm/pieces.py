@@ -11,8 +11,12 @@ backwards.
 Pieces never run from a letter into the space mark, and characters outside the
 vocabulary fall back to bytes, so a text falls apart into short independent
 segments whose encodings are cached; a text of any length is encoded whole.
-Pieces made of space marks alone share one score, where merging goes from the
-left whatever the piece; runs of spaces are therefore merged literally.
+Pieces made of space marks alone share one score, where the merge further left
+comes first; the compatibility test knows that rule, so runs of spaces go
+through the table like everything else.
+
+Decoding reads the ids: their surfaces are taken from a table, end to end, and
+the mark put in front of the text is taken off.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 text; repeated rows, null ids and other columns pass through untouched.
@@ -22,12 +26,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +46,8 @@ CACHE_SEGMENTS = 300_000
 PAIRS = 400_000
 #: Texts are encoded in groups of about this many bytes.
 GROUP_BYTES = 2 << 20
+#: Ids of a group that are written as decimals by Arrow at most.
+LONG_IDS = 1 << 28
 
 
 def load_model(path: str) -> dict:
@@ -97,10 +104,12 @@ class PieceCodec:
         self.known = known
         self._build_trees()
         self.pairs = _Pairs(self.compatible)
-        self.cache: dict[str, str] = {}
-        self.written = {k: str(k) for k in [*self.surface, *self.byte.values()]}
-        self.bytes_of = {k: s.replace(SPACE, " ").encode() for s, k in self.id_of.items()} | {k: bytes([b]) for b, k in self.byte.items()}
-        self.runs: dict[int, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        bytes_of = {k: s.replace(SPACE, " ").encode() for s, k in self.id_of.items()} | {k: bytes([b]) for b, k in self.byte.items()}
+        size = max(bytes_of, default=-1) + 1
+        # ids that stand for nothing (control and unknown pieces) decode to nothing
+        self.bytes_of = pa.array([bytes_of.get(k, b"") for k in range(size)], pa.large_binary())
+        self.written = pa.array([str(k) for k in range(size)], pa.string())
 
     # -- merge trees -----------------------------------------------------
 
@@ -137,14 +146,15 @@ class PieceCodec:
         self.automaton = ahocorasick.Automaton()
         parts: dict[str, tuple[str, str]] = {}
         for s in sorted(self.id_of, key=len):
-            if any(c not in self.known for c in s) or (len(s) > 1 and not s.strip(SPACE)):
+            if any(c not in self.known for c in s):
                 continue
             if len(s) > 1:
                 whole, made = self.merge(list(s))
                 if whole != [s]:
                     continue  # can't be reached by merging
                 parts[s] = made[s]
-                if any(len(x) > 1 and self.score[x] <= self.score[s] for x in made[s]):
+                # a run of marks may equal its parts, as the merge further left comes first there
+                if any(len(x) > 1 and (self.score[x] < self.score[s] or self.score[x] == self.score[s] and s.strip(SPACE)) for x in made[s]):
                     raise ValueError("a piece scores above one of its parts")
             k = self.id_of[s]
             for side, spines in ((0, self.left), (1, self.right)):
@@ -217,15 +227,6 @@ class PieceCodec:
             at += len(s) + 1
         return out
 
-    def run_ids(self, n: int) -> list[int]:
-        """Ids of ``n`` space marks that no text follows closely enough to take one."""
-        if n not in self.runs:
-            ids = [self.id_of[s] for s in self.merge([SPACE] * n)[0]]
-            if n > 4096:
-                return ids
-            self.runs[n] = ids
-        return self.runs[n]
-
     def split(self, text: str) -> list[str]:
         """Segments of a text; a run of several space marks stays with what follows it."""
         marked = SPACE + text.replace(" ", SPACE)
@@ -244,56 +245,42 @@ class PieceCodec:
     def learn(self, segments: set[str]) -> list[str]:
         """Encode those of ``segments`` that are not cached; returns them."""
         new = list(segments.difference(self.cache))
-        written, cache, surfaces = self.written, self.cache, self.bytes_of
-        runs = [s for s in new if s.startswith(SPACE + SPACE)]
-        if runs:
-            short = {s: SPACE + s.lstrip(SPACE) for s in runs}
-            ids_of = dict(zip(runs, self.encode_segments([short[s] for s in runs])))
-            plain = [s for s in new if s not in ids_of]
-        else:
-            plain, ids_of = new, {}
-        for s, ids in ids_of.items():
-            alone = ids[0] == self.id_of[SPACE]
-            ids_of[s] = self.run_ids(len(s) - len(short[s]) + alone) + ids[alone:]
-        for s, ids in chain(zip(plain, self.encode_segments(plain)), ids_of.items()):
-            if b"".join(map(surfaces.__getitem__, ids)) != s.replace(SPACE, " ").encode():
-                raise AssertionError(f"{s!r} does not decode to itself")
-            cache[s] = ",".join(map(written.__getitem__, ids))
+        for s, ids in zip(new, self.encode_segments(new)):
+            self.cache[s] = array("i", ids).tobytes()
         return new
 
-    def decode_ids(self, ids: list[int]) -> bytes:
-        """UTF-8 bytes of the ids' surfaces, space marks as spaces."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def run(self, texts: list[str]) -> list[tuple[str, str]]:
-        """Per text its ids, joined by commas, and what they decode to.
-
-        The decoded text is put together from the segments: each segment's
-        ids were decoded, and compared with it, when it was learned.
-        """
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and end."""
         split = [self.split(t) if t else [] for t in texts]
         new = self.learn(set().union(*split))
         ids = self.cache.__getitem__
-        out = [(",".join(map(ids, s)), "".join(s).replace(SPACE, " ")[1:]) for s in split]
+        joined = [b"".join(map(ids, s)) for s in split]
         if len(self.cache) > CACHE_SEGMENTS:
             for s in new:
                 del self.cache[s]
-        return out
+        return np.frombuffer(b"".join(joined), np.int32), np.cumsum([0, *map(len, joined)]) // 4
 
     def encode(self, text: str) -> list[int]:
-        joined = self.run([text])[0][0]
-        return [int(x) for x in joined.split(",")] if joined else []
+        return self.run([text])[0].tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        raw = self.decode_ids([k for k in ids if k in self.bytes_of])
-        text = raw.decode(errors="replace")
-        return text[1:] if text.startswith(" ") else text
+    # -- decoding --------------------------------------------------------
 
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The text of each run of ids ``cuts[k]`` to ``cuts[k + 1]``: surfaces end to end, without the mark in front."""
+        taken = self.bytes_of.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)[cuts] if len(ids) else np.zeros(len(cuts), np.int64)
+        data = taken.buffers()[2].to_pybytes() if len(ids) and taken.buffers()[2] else b""
+        return [data[a + (data[a : a + 1] == b" ") : b].decode(errors="replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def decode(self, ids: list[int]) -> str:
+        known = np.array([k for k in ids if k < len(self.bytes_of)], np.int32)
+        return self.decode_all(known, np.array([0, len(known)]))[0]
 
-def _id_arrays(joined: list[str], counts: list[int]) -> pa.Array:
-    """Lists of integers from comma-joined ones."""
-    values = np.fromstring(",".join(filter(None, joined)), np.int32, sep=",") if any(counts) else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
+    def joined(self, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """Each run of ids as decimal numbers with commas."""
+        if len(ids) > LONG_IDS:  # beyond the offsets of Arrow's strings
+            return pa.array([",".join(map(str, ids[a:b].tolist())) for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), self.written.take(pa.array(ids))), ",")
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -323,15 +310,13 @@ def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None =
                 while hi < len(texts) and size < GROUP_BYTES:
                     size += len(texts[hi] or b"")
                     hi += 1
-                got = codec.run([(t or b"").decode(errors="replace") for t in texts[lo:hi]])
-                joined = [i for i, _ in got]
-                counts = [i.count(",") + 1 if i else 0 for i in joined]
+                ids, cuts = codec.run([(t or b"").decode(errors="replace") for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        _id_arrays(joined, counts) if as_array else pa.array(joined, pa.string()),
-                        pa.array(counts, pa.int64()),
-                        pa.array([d for _, d in got], pa.string()),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids)) if as_array else codec.joined(ids, cuts),
+                        pa.array(np.diff(cuts)),
+                        pa.array(codec.decode_all(ids, cuts), pa.string()),
                     ],
                     names=["record", "ids", "n_tokens", "decoded"],
                 )
