@@ -35,8 +35,6 @@ from .common import caches, map_batches, materialize, raw_texts, shuffle_partiti
 START, END = "<|im_start|>", "<|im_end|>"
 #: A piece is closed at this many tokens, always after a whole turn.
 PIECE_TOKENS = 1 << 16
-#: Longer texts are encoded in parts, which bounds the tokenizer's own buffers.
-PART_CHARS = 100_000
 #: Turns alike up to this many characters of text stay in one range; the driver draws the ranges from samples of these.
 BOUND_CHARS = 256
 #: Conversations of several pieces that are broadcast as a filter; beyond it they are found by a shuffle.
@@ -77,12 +75,10 @@ class ChatTokenizer:
         self.line = self.encode("\n")
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= PART_CHARS:
-            return self.coder.encode_ordinary(text)
-        return [k for at in range(0, len(text), PART_CHARS) for k in self.coder.encode_ordinary(text[at : at + PART_CHARS])]
+        return self.coder.encode_ordinary(text)
 
-    def decode(self, ids) -> str:
-        return self.coder.decode_bytes(list(ids)).decode(errors="replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return self.coder.decode_bytes(ids.tolist()).decode(errors="replace")
 
     def segments(self, role: str, text: str, trained: bool) -> list[tuple[list[int], bool]]:
         """One turn as (ids, under the loss mask)."""
@@ -99,11 +95,15 @@ class ChatTokenizer:
         """Role, text, text under the mask and rendered length of each turn of a piece, read back from its tokens."""
         starts, ends = np.flatnonzero(ids == self.start), np.flatnonzero(ids == self.end)
         after = len(self.line)
+        edges = np.flatnonzero(np.diff(mask, prepend=np.int8(0)))
         for a, b in zip(starts, ends):
-            body, tail = self.decode(ids[a + 1 : b]), self.decode(ids[b + 1 : b + 1 + after])
-            trained = unescape(self.decode(ids[a:b][mask[a:b] > 0]))
+            # every token is decoded once: a turn is cut where the mask changes
+            cuts = [a + 1, *edges[np.searchsorted(edges, a + 2) : np.searchsorted(edges, b)], b]
+            parts = [self.decode(ids[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
+            body, tail = "".join(parts), self.decode(ids[b + 1 : b + 1 + after])
+            trained = "".join(p for p, x, y in zip(parts, cuts[:-1], cuts[1:]) if x < y and mask[x])
             role, _, text = body.partition("\n")
-            yield unescape_role(role), unescape(text), trained, len(START) + len(body) + len(END) + len(tail)
+            yield unescape_role(role), unescape(text), unescape(trained), len(START) + len(body) + len(END) + len(tail)
 
 
 _tokenizers: dict[int, ChatTokenizer] = {}

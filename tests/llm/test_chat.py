@@ -1,7 +1,9 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 
 from matrelate.llm import chat
 
@@ -74,10 +76,25 @@ def test_mask_covers_assistant_text_only(spark, spec):
     pieces = chat.format_conversations(table(spark, ROWS[:2]), spec).orderBy("piece").collect()
     ids, mask = ([x for p in pieces for x in p[c]] for c in ("token_ids", "loss_mask"))
     tok = chat.ChatTokenizer(*spec.value)
-    assert chat.unescape(tok.decode([i for i, m in zip(ids, mask) if m])) == SAID
+    assert chat.unescape(tok.decode(np.array([i for i, m in zip(ids, mask) if m]))) == SAID
     assert ids.count(tok.start) == 2 and ids.count(tok.end) == 2
 
 
+@pytest.mark.parametrize("text", ["long words " * 30_000, "z" * 250_000, "漢字 né\n" * 40_000])
+def test_long_texts_are_encoded_whole(spark, spec, text):
+    """The ids of a text do not depend on its length: they are those of the library for the whole text."""
+    import base64
+
+    table_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, spec.value[0].splitlines())}
+    library = tiktoken.Encoding("own", pat_str=spec.value[1], mergeable_ranks=table_of, special_tokens={})
+    tok = chat.ChatTokenizer(*spec.value)
+    (piece,) = chat.format_conversations(table(spark, [(1, 0, "assistant", text)]), spec).collect()
+    ids, mask = np.array(piece["token_ids"]), np.array(piece["loss_mask"])
+    assert ids[mask > 0].tolist() == library.encode_ordinary(text)
+    ((role, back, trained, _),) = tok.turns(ids, mask)
+    assert (role, back, trained) == ("assistant", text, text)
+
+
 def test_empty(spark, spec):
     pieces = chat.format_conversations(table(spark, []), spec)
     assert chat.digest_conversations(pieces, spec).count() == 0
