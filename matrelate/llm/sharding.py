@@ -1,14 +1,16 @@
 """Two-pass external shuffle of a corpus into shards of equal row counts.
 
 Pass one scatters records uniformly into memory-sized buckets by a seeded hash
-of the id.  Pass two orders each bucket by its key (an external sort, so a
+of id and text, one bucket a task.  Pass two orders each bucket by its key (an external sort, so a
 bucket larger than memory spills instead of failing), deals its rows out by a
 seeded Fisher-Yates permutation of the bucket's positions, and lays the
 buckets end to end.  Shards are contiguous ranges of that global order whose
 row counts differ by at most one.
 
-Defined results: a null text counts as no bytes; rows with a null id are
-scattered by their position in the input; repeated rows are separate records;
+Defined results: a null text counts as no bytes; rows with null or repeated
+ids are scattered by their texts; rows equal in id and text are separate
+records of one bucket, in any order; the same rows, seed and bucket count give
+the same order however the input is split;
 an empty table gives an empty result; input columns stay inside the struct
 ``record``, so they cannot clash with ``shard`` and ``slot``.
 """
@@ -48,8 +50,7 @@ def shuffle_into_shards(
     n_rows = total["n"]
     n_buckets = max(shuffle_partitions(spark), -(-(total["b"] or 0) // bucket_bytes))
 
-    key = F.coalesce(F.col(id_col), F.monotonically_increasing_id())
-    bucket = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(n_buckets)).cast("int")
     counts = np.zeros(n_buckets, np.int64)
     for row in df.select(bucket.alias("b")).groupBy("b").count().toLocalIterator():
         counts[row["b"]] = row["count"]
@@ -59,7 +60,8 @@ def shuffle_into_shards(
 
     scattered = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"), bucket.alias("bucket"))
     order = [F.col("bucket"), F.col(f"record.`{id_col}`"), F.xxhash64(F.col(f"record.`{text_col}`"))]
-    scattered = scattered.repartition(n_buckets, "bucket").sortWithinPartitions(*order)
+    # by the number itself: hashed numbers would leave tasks empty and give others several buckets
+    scattered = scattered.repartitionById(n_buckets, "bucket").sortWithinPartitions(*order)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, starts, bounds = tables.value
