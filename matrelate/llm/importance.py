@@ -61,7 +61,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     n = ids.count()
     if n > TARGET_DOCS:
         ids = ids.where(F.pmod(F.xxhash64(F.lit(5), "target"), F.lit(1 << 30)) < int((1 << 30) * TARGET_DOCS / n))
-    rows = docs.join(F.broadcast(ids), docs[id_col] == F.col("target"), "left").select(F.col(text_col).alias("text"), F.col("target").isNotNull().alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("target"), "left")
+    rows = rows.select("text", F.col("target").isNotNull().alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
