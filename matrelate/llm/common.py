@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,13 +26,15 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Where it is unset (tests,
-    local mode) a temporary folder is made once and kept in the session.
+    ``spark.checkpoint.dir`` names it on a cluster.  Where it is unset, in
+    local mode, a temporary folder is made once and kept in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("matrelate.scratch", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="matrelate-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = "file://" + folder
@@ -39,8 +42,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Tables made inside ``passing`` blocks that are under way, innermost last.
+_made: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str, level: int = -1) -> str:
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if len(_made) >= -level:
+        _made[level].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Tables materialised inside are deleted at the end, but for those made with ``keep``."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: What Arrow batches hold at most, so that workers' memory does not follow the texts' lengths.
@@ -88,15 +114,15 @@ def give_back() -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors: every later stage
     reads files that all executors see, so the job's shuffle files can go as
-    soon as it has ended.
+    soon as it has ended.  ``keep`` leaves the table to the block outside.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, -2 if keep else -1)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -107,8 +133,8 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Ids that are broadcast at most (a hash table of about 100 bytes an id); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
@@ -117,7 +143,7 @@ def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
 
 
 #: Keys of rows (an id and a digest, about 100 bytes each) that are broadcast at most.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 500_000
 
 
 def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
@@ -140,16 +166,24 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Arrays of at most this many bytes are packed as they are; behind a first byte that says so.
+SHORT = 48
+
+
 def pack(array: np.ndarray) -> bytes:
     """Compress an integer array byte plane by byte plane."""
     array = np.ascontiguousarray(array)
+    if array.nbytes <= SHORT:
+        return b"\0" + array.tobytes()
     planes = array.view(np.uint8).reshape(len(array), array.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
+    if blob[0] == 0:
+        return np.frombuffer(blob, dtype, offset=1)
     item = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), np.uint8)
     return np.ascontiguousarray(planes.reshape(item, -1).T).view(dtype).ravel()
 
 

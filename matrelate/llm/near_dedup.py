@@ -37,14 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, caches, map_batches, materialize, mix64, raw_texts, small, without
-from .components import connected_components
+from .common import LOWER, WordHashes, caches, map_batches, materialize, mix64, passing, raw_texts, small, without
+from .components import Forest, connected_components
 from .exact_dedup import sha256
 
 BINS = 128
 BAND_ROWS = 4
 BANDS = BINS // BAND_ROWS
-#: Shingle hashes of the members of a bucket that one task compares at once.
+#: A bucket of more shingle hashes than this is compared in blocks; their number grows with the root of the bucket's size.
 BLOCK_HASHES = 50_000
 #: Signature agreement below which a pair is not confirmed: over five standard deviations under the threshold.
 MARGIN = 0.2
@@ -153,7 +153,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
                     )
 
     rep = small(wanted.select(F.col("rep").alias("wanted_id")).distinct())
-    rows = docs.join(rep, F.col(id_col).cast("long").eqNullSafe(F.col("wanted_id")), "left_semi").select(F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(rep, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     found = map_batches(rows, run, SET_SCHEMA).join(wanted.select("class").distinct(), "class", "left_semi")
     return materialize(found.groupBy("class").agg(F.min("signature").alias("signature"), F.min("hashes").alias("hashes")), "sets")
 
@@ -177,19 +178,6 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs, run, "a binary, b binary")
 
 
-class _Forest(dict):
-    """Union-find over labels."""
-
-    def root(self, x):
-        while self.get(x, x) != x:
-            self[x] = self.get(self[x], self[x])
-            x = self[x]
-        return x
-
-    def unite(self, x, y) -> None:
-        self[self.root(y)] = self.root(x)
-
-
 def _complete_block(members: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
     """Links between members of different components that are needed to join these.
 
@@ -206,7 +194,7 @@ def _complete_block(members: list[dict], percent: int) -> list[tuple[bytes, byte
     # the largest component is compared from its outside only
     largest = np.bincount(kind).argmax()
     rows = np.flatnonzero(kind != largest)
-    forest, links = _Forest(), []
+    forest, links = Forest(), []
     mixed = len(set(side.tolist())) > 1
     for i in rows.tolist():
         other = kind != kind[i]
@@ -230,7 +218,8 @@ def _complete_block(members: list[dict], percent: int) -> list[tuple[bytes, byte
 def _complete(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the stars missed, from buckets that still hold several components."""
     labelled = members.join(roots, members["class"] == roots["node"], "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("label"))
-    blocks = F.ceil(F.sum("n") / BLOCK_HASHES).cast("int")
+    # a member is sent to every block, so blocks grow with the root of the bucket
+    blocks = F.ceil(F.sqrt(F.sum("n") / BLOCK_HASHES)).cast("int")
     # two 64-bit sums over the members' hashes tell member lists apart
     both = F.struct(*[F.sum(F.xxhash64(F.lit(seed), "class").cast("decimal(20,0)")) for seed in (1, 2)])
     mixed = (
@@ -307,6 +296,15 @@ def _resolve(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     )
     classes = materialize(classes, "classes")
 
+    with passing(docs.sparkSession):
+        roots = _grouped(docs, classes, size, percent, id_col, text_col)
+    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "copies", "one", F.coalesce("root", "class").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("one").alias("one"))
+    return rows, named.drop("one").join(smallest, "root").select("class", "copies", "one")
+
+
+def _grouped(docs: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Stored (node, root) of the classes that have links."""
     # the first half of the class is enough to find buckets of several; should two classes share it, both are looked at
     short = F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long")
     spread = classes.select(short.alias("short"), F.explode("bands").alias("bucket"))
@@ -314,7 +312,7 @@ def _resolve(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     found = spread.join(several, "bucket").join(classes.select("class", "rep", "n", short.alias("short")), "short").drop("short")
     found = materialize(found, "found")
     centre = F.min(F.struct("class", "n"))
-    stars = found.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n"))
+    stars = materialize(found.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n")), "stars")
     members = materialize(found.join(stars, "bucket"), "members")
     fits = F.expr(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
     candidates = members.where("class <> centre").where(fits).select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
@@ -322,11 +320,9 @@ def _resolve(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     hashes = sets.select("class", "hashes")
     pairs = candidates.join(hashes.toDF("b", "b_hashes"), "b").join(hashes.toDF("a", "a_hashes"), "a").select("a", "b", "a_hashes", "b_hashes")
     links = materialize(_confirm(pairs, percent), "links")
-    roots = materialize(connected_components(links), "roots")
+    roots = connected_components(links)
 
     missed = materialize(_complete(members, roots, sets, percent), "missed")
     if not missed.isEmpty():
         roots = connected_components(links.unionByName(missed))
-    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "copies", "one", F.coalesce("root", "class").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("one").alias("one"))
-    return rows, named.drop("one").join(smallest, "root").select("class", "copies", "one")
+    return materialize(roots, "roots", keep=True)
