@@ -6,16 +6,20 @@ are never shuffled and a block fits one task whatever the corpus size.
 ``search`` sends the test windows to the blocks.  In a block a window's posting
 lists are shifted by the term's offset and intersected from the rarest term
 on; most windows end at a term that the block lacks.  Exact phrase matches
-give spans; proximity matches (every term of the window near its rarest one)
-are found on the same lists.
+give spans; proximity matches (some ``reach`` consecutive words of a document
+that hold every term of the window, in any order) are found on the same lists.
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII bytes.
 
+Test texts travel as arrays of word numbers and one sorted list of distinct
+words; a part is closed before these exceed ``PART_BYTES``, whatever the texts.
+
 Defined results: a null or empty text has no words and no hits; an item
-without words or without an id matches nothing; items shorter than the window
-match as a whole; repeated item ids count once; repeated rows and equal
-doc_ids stay separate rows; empty tables give empty or clean results; columns
-other than id and text are ignored.
+without words matches nothing; the windows of an item without an id hit words
+but name no item; items shorter than the window match as a whole; repeated
+item ids count once; repeated rows and equal doc_ids stay separate rows; empty
+tables give empty or clean results; columns other than id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -38,7 +43,7 @@ from .exact_dedup import sha256
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: A block is closed at this many words.
 BLOCK_WORDS = 1_000_000
-#: Test texts are sent to the blocks in parts of at most this many bytes.
+#: Test texts are sent to the blocks in parts of at most this many bytes, counted as they are broadcast.
 PART_BYTES = 32 << 20
 
 INDEX_SCHEMA = "block long, doc_ids array<long>, digests array<binary>, starts binary, n_words binary, terms binary, offsets binary, positions binary"
@@ -109,42 +114,55 @@ INDEX_NAMES = [f.split()[0] for f in INDEX_SCHEMA.split(", ")]
 
 
 class Windows:
-    """Test windows as rows of term numbers, padded with -1."""
-
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
-        terms: dict[bytes, int] = {}
-        rows, owner = [], []
-        for k, (_, text) in enumerate(items):
-            found = [terms.setdefault(w, len(terms)) for w in words(text)]
-            for at in range(max(1, len(found) - size + 1) if found else 0):
-                rows.append(found[at : at + size])
-                owner.append(k)
+    """Test windows over the items' words in a row: window k is the words ``starts[k]`` to ``starts[k] + lengths[k]``."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        codes = [np.fromiter(map(numbers.__getitem__, words(text)), np.int32, -1) for _, text in items]
+        found = np.array(list(numbers), object)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.terms = b"".join(found[order])
+        self.ends = np.cumsum([0, *map(len, found[order])])
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.codes = rank[np.concatenate(codes)] if codes else np.zeros(0, np.int32)
+        sizes = np.array([len(c) for c in codes], np.int64)
+        self.size = size
         self.item_ids = [i for i, _ in items]
-        self.terms = terms
-        self.owner = np.array(owner, np.int64)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.table = np.full((len(rows), size), -1, np.int64)
-        for k, r in enumerate(rows):
-            self.table[k, : len(r)] = r
+        self.cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    @property
+    def nbytes(self) -> int:
+        return self.hashes.nbytes + len(self.terms) + self.ends.nbytes + self.codes.nbytes + self.cuts.nbytes + sum(len(i or "") for i in self.item_ids)
+
+    def spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and item of every window."""
+        sizes = np.diff(self.cuts)
+        n = np.where(sizes > 0, np.maximum(1, sizes - self.size + 1), 0)
+        owner = np.repeat(np.arange(len(sizes)), n)
+        first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
+        return np.arange(len(owner)) - first[owner] + self.cuts[:-1][owner], np.minimum(sizes[owner], self.size), owner
 
 
 class Postings:
     """One block of the index, opened for the terms of a search."""
 
-    def __init__(self, row: dict, terms: dict[bytes, int]):
+    def __init__(self, row: dict, w: Windows):
         vocabulary = zstandard.ZstdDecompressor().decompress(row["terms"]).split(b" ")
         sizes = unpack(row["offsets"], np.uint32).astype(np.int64)
         ends = np.cumsum(sizes)
         gaps = unpack(row["positions"], np.uint32).astype(np.int64)
         self.lists: dict[int, np.ndarray] = {}
-        for k, word in enumerate(vocabulary):
-            term = terms.get(word)
-            if term is not None and sizes[k]:
-                self.lists[term] = np.cumsum(gaps[ends[k] - sizes[k] : ends[k]])
-        self.sizes = np.zeros(len(terms) + 1, np.int64)
-        for term, places in self.lists.items():
-            self.sizes[term] = len(places)
-        self.sizes[-1] = np.iinfo(np.int64).max  # padding never is the rarest term
+        self.sizes = np.zeros(len(w.hashes), np.int64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+        low, high = np.searchsorted(w.hashes, hashes), np.searchsorted(w.hashes, hashes, side="right")
+        for k in np.flatnonzero((low < high) & (sizes > 0)).tolist():
+            for term in range(low[k], high[k]):
+                if w.terms[w.ends[term] : w.ends[term + 1]] == vocabulary[k]:
+                    self.lists[term] = np.cumsum(gaps[ends[k] - sizes[k] : ends[k]])
+                    self.sizes[term] = sizes[k]
 
     def phrase(self, terms: np.ndarray) -> np.ndarray:
         """Start positions of the word sequence."""
@@ -159,17 +177,37 @@ class Postings:
         return starts
 
     def near(self, terms: np.ndarray, reach: int, doc_of, doc_starts: np.ndarray) -> np.ndarray:
-        """Positions of the rarest term with every other term within ``reach`` words in the same document."""
-        order = np.argsort(self.sizes[terms], kind="stable")
-        places = self.lists[int(terms[order[0]])]
-        for k in order[1:]:
+        """Documents with ``reach`` consecutive words that hold all of the distinct ``terms``."""
+        order = terms[np.argsort(self.sizes[terms], kind="stable")]
+        places = self.lists[int(order[0])]
+        # every other term stands less than ``reach`` words from the rarest one
+        for term in order[1:].tolist():
             if not len(places):
                 break
-            doc = doc_of(places)
-            low, high = np.maximum(places - reach, doc_starts[doc]), np.minimum(places + reach + 1, doc_starts[doc + 1])
-            other = self.lists[int(terms[k])]
-            places = places[np.searchsorted(other, high) > np.searchsorted(other, low)]
-        return places
+            other = self.lists[term]
+            places = places[np.searchsorted(other, places + reach) > np.searchsorted(other, places - reach + 1)]
+        if len(order) > 1 and len(places):
+            places = places[self._together(order, places, reach, doc_of, doc_starts)]
+        return np.unique(doc_of(places))
+
+    def _together(self, order: np.ndarray, places: np.ndarray, reach: int, doc_of, doc_starts: np.ndarray) -> np.ndarray:
+        """For positions of the first term, whether a span of ``reach`` words around it holds one position of every term."""
+        doc = doc_of(places)
+        # a span that holds all begins at one of the terms; each beginning is tried for all positions at once
+        good = np.zeros(len(places), bool)
+        for term in order.tolist():
+            mine = self.lists[term]
+            lo, hi = np.searchsorted(mine, np.maximum(places - reach + 1, doc_starts[doc])), np.searchsorted(mine, places, side="right")
+            for step in range(int((hi - lo).max(initial=0))):
+                some = np.flatnonzero((lo + step < hi) & ~good)
+                begin = mine[(lo + step)[some]]
+                end = np.minimum(begin + reach, doc_starts[doc[some] + 1])
+                holds = np.ones(len(some), bool)
+                for other in order.tolist():
+                    where = self.lists[other]
+                    holds &= np.searchsorted(where, end) > np.searchsorted(where, begin)
+                good[some[holds]] = True
+        return good
 
 
 def search(index: DataFrame, items: DataFrame, window: int = 10, reach: int | None = None, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -178,20 +216,36 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, reach: int | No
     ``reach`` asks for proximity matches besides the exact ones.
     """
     spark = index.sparkSession
-    source = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    total = source.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
-    n_parts = -(-total // PART_BYTES) or 1
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n_parts))
-    found = None
-    for k in range(n_parts):
-        rows = [(r["i"], r["t"].encode()) for r in source.where(part == k).distinct().collect()]  # PART_BYTES at most, on average
-        hits = map_batches(index, _searcher(spark.sparkContext.broadcast(Windows(rows, window)), reach), HIT_SCHEMA)
-        found = hits if found is None else found.unionByName(hits)
+    source = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
+    found, n_parts = None, 0
+    for w in _parts(source, window):
+        hits = map_batches(index, _searcher(spark.sparkContext.broadcast(w), reach), HIT_SCHEMA)
+        found, n_parts = hits if found is None else found.unionByName(hits), n_parts + 1
     if n_parts > 1:
         found = _merged(found)
     return found.drop("block", "doc")
 
 
+def _parts(source: DataFrame, window: int) -> Iterator[Windows]:
+    """All items, in parts that take ``PART_BYTES`` when broadcast; a single larger item is a part of its own."""
+    held, size, made = [], 0, False
+    for row in source.toLocalIterator():
+        text = row["t"].encode()
+        # at worst every word is new: its bytes, end, hash and number; a word takes two bytes of text at least
+        cost = 11 * (len(text) + 1) + len(row["i"] or "") + 8
+        if held and size + cost > PART_BYTES:
+            w = Windows(held, window)
+            if w.nbytes + cost > PART_BYTES:
+                yield w
+                made, held, size = True, [], 0
+            else:
+                size = w.nbytes
+        held.append((row["i"], text))
+        size += cost
+    if held or not made:
+        yield Windows(held, window)
+
+
 def _searcher(windows, reach):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,23 +258,26 @@ def _searcher(windows, reach):
 
 def _search_block(row: dict, w: Windows, reach: int | None) -> pa.RecordBatch:
     starts, lengths = unpack(row["starts"], np.int64), unpack(row["n_words"], np.int32).astype(np.int64)
-    postings = Postings(row, w.terms)
-    alive = np.flatnonzero((postings.sizes[w.table] > 0).all(axis=1)) if len(w.table) else []
+    postings = Postings(row, w)
+    first, size, owner = w.spread()
+    # windows with a term that the block lacks can't match
+    lacking = np.concatenate([[0], np.cumsum(postings.sizes[w.codes] == 0)])
+    alive = np.flatnonzero(lacking[first + size] == lacking[first])
     edge = np.zeros(starts[-1] + 1, np.int64)
     doc_of = lambda places: np.searchsorted(starts, places, side="right") - 1
     exact: dict[int, set[str]] = defaultdict(set)
     close: dict[int, set[str]] = defaultdict(set)
-    for k in alive:
-        terms = w.table[k, : w.lengths[k]]
+    for k in alive.tolist():
+        terms, item = w.codes[first[k] : first[k] + size[k]], w.item_ids[owner[k]]
         at = postings.phrase(terms)
         if len(at):
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + w.lengths[k], -1)
+            np.add.at(edge, at + size[k], -1)
             for d in np.unique(doc_of(at)).tolist():
-                exact[d].add(w.item_ids[w.owner[k]])
+                exact[d].add(item)
         if reach is not None:
-            for d in np.unique(doc_of(postings.near(np.unique(terms), reach, doc_of, starts))).tolist():
-                close[d].add(w.item_ids[w.owner[k]])
+            for d in postings.near(np.unique(terms), reach, doc_of, starts).tolist():
+                close[d].add(item)
     spans: dict[int, list[dict]] = defaultdict(list)
     if exact:
         on = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])
@@ -236,8 +293,8 @@ def _search_block(row: dict, w: Windows, reach: int | None) -> pa.RecordBatch:
         pa.array(row["digests"], pa.binary()),
         pa.array(lengths),
         pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-        pa.array([sorted(exact.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-        pa.array([sorted(close.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+        pa.array([sorted(exact.get(d, set()) - {None}) for d in range(n)], pa.list_(pa.string())),
+        pa.array([sorted(close.get(d, set()) - {None}) for d in range(n)], pa.list_(pa.string())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["block", "doc", "doc_id", "digest", "n_words", "spans", "item_ids", "near_item_ids"])
 

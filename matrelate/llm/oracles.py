@@ -14,18 +14,27 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 ORACLES["op1_decontamination"] = """
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
-bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-win AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, list_sort(list_distinct(w[p:p + k - 1])) AS terms
         FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM bw WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM win),
 grams AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS phrase
           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, ks WHERE len(w) >= k)),
 hits AS (SELECT doc_id, p, k, item_id FROM grams JOIN win USING (k, phrase)),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM hits GROUP BY doc_id),
+sets AS (SELECT row_number() OVER () AS s, terms, len(terms) AS m FROM (SELECT DISTINCT terms FROM win)),
+st AS (SELECT s, m, unnest(terms) AS t FROM sets),
+pos AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM dw),
+dt AS (SELECT DISTINCT doc_id, t FROM pos SEMI JOIN (SELECT DISTINCT t FROM st) USING (t)),
+cand AS (SELECT doc_id, s FROM dt JOIN st USING (t) GROUP BY doc_id, s, m HAVING count(*) = m),
+occ AS (SELECT doc_id, s, m, t, p FROM cand JOIN st USING (s) JOIN pos USING (doc_id, t)),
+close AS (SELECT DISTINCT a.doc_id, a.s FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND a.s = b.s AND b.p >= a.p AND b.p < a.p + 12
+          GROUP BY a.doc_id, a.s, a.m, a.p HAVING count(DISTINCT b.t) = a.m),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN sets USING (s) JOIN win USING (terms) GROUP BY doc_id),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 ORACLES["op2_chat"] = r"""

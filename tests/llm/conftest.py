@@ -18,8 +18,8 @@ def invented(seed, n):
 
 def frame(spark, rows, extra=()):
     """A documents table with columns that clash with the operators' own."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, record string, shard int, kept boolean, score double, bucket long"
-    full = [(i, t, "en", "s", len(t or ""), "r", 1, True, 0.5, 7, *extra) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, record string, shard int, kept boolean, score double, bucket long, target long, wanted_id long, id string, digest string, class string, root long, block int, term string"
+    full = [(i, t, "en", "s", len(t or ""), "r", 1, True, 0.5, 7, i, i, "i", "d", "c", 5, 3, "t", *extra) for i, t in rows]
     return spark.createDataFrame(full, schema)
 
 

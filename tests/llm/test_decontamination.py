@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -12,12 +13,26 @@ def words(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+def brute_near(rows, items, window, reach):
+    out = []
+    for doc_id, text in rows:
+        w, ids = words(text), set()
+        for i, t in items:
+            q = words(t)
+            for p in range(max(1, len(q) - window + 1) if q else 0):
+                terms = set(q[p : p + window])
+                if i is not None and any(terms <= set(w[a : a + reach]) for a in range(len(w))):
+                    ids.add(str(i))
+        out.append((doc_id, tuple(sorted(ids))))
+    return sorted(out, key=str)
+
+
 def brute(rows, items, window):
     windows = []
     for i, t in items:
         w = words(t)
-        if i is not None and w:
-            windows += [(str(i), w[p : p + window]) for p in range(max(1, len(w) - window + 1))]
+        if w:
+            windows += [(i, w[p : p + window]) for p in range(max(1, len(w) - window + 1))]
     out = []
     for doc_id, text in rows:
         w, hit, ids = words(text), set(), set()
@@ -25,7 +40,7 @@ def brute(rows, items, window):
             for p in range(len(w) - len(win) + 1):
                 if w[p : p + len(win)] == win:
                     hit.update(range(p, p + len(win)))
-                    ids.add(i)
+                    ids.update([] if i is None else [str(i)])
         out.append((doc_id, len(w), len(hit), tuple(sorted(ids))))
     return sorted(out, key=str)
 
@@ -72,10 +87,37 @@ def test_spans(spark):
 
 def test_proximity(spark):
     rows = [(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "x " * 9 + "beta gamma"), (4, "alpha beta")]
-    got = {r["doc_id"]: (r["item_ids"], r["near_item_ids"]) for r in run(spark, rows, [(7, "alpha beta gamma")], window=10, reach=4)}
+    got = {r["doc_id"]: (r["item_ids"], r["near_item_ids"]) for r in run(spark, rows, [(7, "alpha beta gamma")], window=10, reach=5)}
     assert got == {1: ([], ["7"]), 2: ([], ["7"]), 3: ([], []), 4: ([], [])}
 
 
+@pytest.mark.parametrize("reach", [1, 3, 10, 14])
+def test_proximity_against_brute_force(spark, corpus, reach):
+    r = random.Random(reach)
+    rows = [(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for k in range(60)]
+    items = [(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 12)))) for k in range(12)] + [(None, "a b")]
+    shuffled = dict(corpus)[1].split()[5:17]
+    rows += corpus + [(900, " ".join(sorted(shuffled)))]
+    items += [(50, " ".join(shuffled)), *items_for(corpus)]
+    got = sorted(((r["doc_id"], tuple(r["near_item_ids"])) for r in run(spark, rows, items, window=6, reach=reach)), key=str)
+    assert got == brute_near(rows, items, 6, reach)
+    assert any(x for _, x in got)
+
+
+def test_parts_are_measured(spark, monkeypatch):
+    """No part takes more than its bound, whatever the texts; all windows are in some part."""
+    monkeypatch.setattr(decontamination, "PART_BYTES", 20_000)
+    items = [(k, invented(k, 50)) for k in range(100)] + [(200, "a " * 900)]
+    parts = list(decontamination._parts(spark.createDataFrame(items, "i string, t string"), 10))
+    assert len(parts) > 2 and all(w.nbytes <= 20_000 for w in parts)
+    assert sum(len(w.spread()[0]) for w in parts) == sum(max(1, len(t.split()) - 9) for _, t in items)
+
+
+def test_items_without_an_id_hit_words(spark):
+    (row,) = run(spark, [(1, "x a b c y")], [(None, "a b c"), (None, None)])
+    assert (row["n_hit"], row["item_ids"]) == (3, [])
+
+
 def test_empty_tables(spark, corpus):
     assert run(spark, [], [(1, "a b")]) == []
     assert all(r["n_hit"] == 0 for r in run(spark, corpus, []))
