@@ -8,6 +8,7 @@ import ctypes
 import gc
 import re
 import shutil
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -187,6 +188,20 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(item, -1).T).view(dtype).ravel()
 
 
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Several packed arrays in one blob."""
+    parts = [pack(a) for a in arrays]
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+
+
+def unbundle(blob: bytes, *dtypes) -> list[np.ndarray]:
+    sizes, at, out = struct.unpack_from(f"<{len(dtypes)}I", blob), 4 * len(dtypes), []
+    for size, dtype in zip(sizes, dtypes):
+        out.append(unpack(blob[at : at + size], dtype))
+        at += size
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

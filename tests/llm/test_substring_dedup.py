@@ -23,8 +23,8 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def run(spark, rows, length):
-    out = substring_dedup.find_repeats(frame(spark, rows), length).collect()
+def run(spark, rows, length, **options):
+    out = substring_dedup.find_repeats(frame(spark, rows), length, **options).collect()
     assert all(sum(s["end"] - s["start"] for s in r["repeats"]) + len(r["kept"].split()) == r["n_words"] for r in out)
     return sorted(((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["repeats"]), r["kept"]) for r in out), key=str)
 
@@ -41,6 +41,21 @@ def test_periodic_and_touching_repeats(spark):
     assert run(spark, rows, 35) == brute(rows, 35)
 
 
+@pytest.mark.parametrize("bits", [1, 6, 12])
+def test_hashes_that_collide(spark, corpus, monkeypatch, bits):
+    """Different windows of one hash are told apart by their words."""
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", 300)
+    rows = [r for r in corpus if len(r[1] or "") < 3000]
+    assert run(spark, rows, 12, bits=bits) == brute(rows, 12)
+
+
+def test_matches_are_extended(spark):
+    """Windows that go on beside their partners become one stretch."""
+    starts, blocks_, places = (np.array(x) for x in ([3, 4, 5, 9, 10, 11], [1, 1, 1, 1, 1, 2], [7, 8, 9, 2, 3, 4]))
+    first, n = substring_dedup._stretches(starts, blocks_, places)
+    assert first.tolist() == [0, 3, 5] and n.tolist() == [3, 2, 1]
+
+
 def test_shared_passage(spark):
     passage = invented(3, 60)
     rows = [(k, f"{invented(100 + k, 30)} {passage} {invented(900 + k, 30)}") for k in range(80)]
