@@ -6,11 +6,12 @@ first number at or above a bound by one select in the bitmap and a short
 search among the numbers that share the high bits.
 
 In the trie a level holds, for all parents in a row, the sorted word ids of
-their children, made monotone by adding a running base per parent, so that a
-child is found by a successor search relative to its context.  Pointers to
-where each parent's children begin are one more monotone sequence.  Values are
-codes into a table of quantised log probabilities.  All arrays are plain files
-that are mapped into memory.
+their children, made monotone: the ids of a parent go on from the last number
+of the parent before, so no base has to be stored, and a child is found by a
+successor search relative to its context.  Pointers to where each parent's
+children begin are one more monotone sequence.  A level may carry any number
+of values per node, such as codes of quantised log probabilities and back-off
+weights.  All arrays are plain files that are mapped into memory.
 """
 
 from __future__ import annotations
@@ -125,58 +126,75 @@ class EliasFano:
 
 
 class NgramTrie:
-    """Sorted distinct n-grams, level by level, with a code for each whole n-gram."""
+    """Sorted distinct n-grams, level by level; a node is a beginning of some n-gram."""
 
-    def __init__(self, levels: list[tuple[EliasFano, EliasFano, np.ndarray]], codes: np.ndarray):
-        self.levels, self.codes = levels, codes
+    def __init__(self, levels: list[tuple[EliasFano, EliasFano]], values: list[dict[str, np.ndarray]]):
+        self.levels, self.values = levels, values
 
     @staticmethod
-    def build(grams: np.ndarray, codes: np.ndarray, folder: str) -> None:
-        """``grams``: rows of word ids in lexicographic order, without repeats.  Writes the levels to ``folder``."""
-        n, order = grams.shape
-        parent = np.zeros(n, np.int64)  # each gram's node on the level above
+    def build(nodes: list[tuple[np.ndarray, np.ndarray]], values: list[dict[str, np.ndarray]], folder: str) -> None:
+        """Writes the levels to ``folder``.
+
+        ``nodes`` has for each level the parent (a node of the level above, 0
+        on the first) and the word id of each node, in lexicographic order
+        without repeats.  ``values`` are the named arrays of each level.
+        """
         parents = 1
-        for level in range(order):
-            new = np.ones(n, bool)
-            new[1:] = (grams[1:, : level + 1] != grams[:-1, : level + 1]).any(axis=1)
-            first = np.flatnonzero(new)
-            owner, words = parent[first], grams[first, level].astype(np.int64)
+        for level, ((owner, words), named) in enumerate(zip(nodes, values)):
             pointers = np.searchsorted(owner, np.arange(parents + 1))
-            # each parent's ids start above the largest one of the parent before
+            # each parent's ids go on above the last one of the parent before
             last = np.zeros(parents, np.int64)
             filled = np.diff(pointers) > 0
             last[filled] = words[pointers[1:][filled] - 1] + 1
             base = np.concatenate([[0], np.cumsum(last)[:-1]])
             EliasFano.build(words + base[owner]).save(folder, f"{level}.words")
             EliasFano.build(pointers).save(folder, f"{level}.pointers")
-            EliasFano.build(base).save(folder, f"{level}.base")
-            parent, parents = np.cumsum(new) - 1, len(first)
-        np.save(f"{folder}/codes.npy", codes)
+            for name, array in named.items():
+                np.save(f"{folder}/{level}.value.{name}.npy", array)
+            parents = len(words)
 
     @classmethod
     def load(cls, folder: str) -> NgramTrie:
-        levels = []
+        levels, values = [], []
         while os.path.exists(f"{folder}/{len(levels)}.words.size.npy"):
-            levels.append(tuple(EliasFano.load(folder, f"{len(levels)}.{x}") for x in ("words", "pointers", "base")))
-        return cls(levels, np.load(f"{folder}/codes.npy", mmap_mode="r"))
-
-    def find(self, grams: np.ndarray, missing: int) -> np.ndarray:
-        """The code of each n-gram, ``missing`` where the trie lacks it."""
-        out = np.full(len(grams), missing, self.codes.dtype)
-        alive, node = np.arange(len(grams)), np.zeros(len(grams), np.int64)
-        for level, (words, pointers, base) in enumerate(self.levels):
-            # queries that follow each other often share their beginning: it is looked up once
-            prefix = grams[alive, : level + 1]
-            new = np.ones(len(alive), bool)
-            new[1:] = (prefix[1:] != prefix[:-1]).any(axis=1)
-            first, run = np.flatnonzero(new), np.cumsum(new) - 1
-            parent, same = np.unique(node[first], return_inverse=True)
-            begin, end, start = pointers.get(parent)[same], pointers.get(parent + 1)[same], base.get(parent)[same]
-            wanted = start + prefix[first, level].astype(np.int64)
-            at = words.successor(wanted, begin, end)
-            found = at < end
-            found[found] = words.get(at[found]) == wanted[found]
-            keep = found[run]
-            alive, node = alive[keep], at[run[keep]]
-        out[alive] = self.codes[node]
+            at = f"{len(levels)}."
+            values.append({f[len(at) + 6 : -4]: np.load(f"{folder}/{f}", mmap_mode="r") for f in sorted(os.listdir(folder)) if f.startswith(f"{at}value.")})
+            levels.append(tuple(EliasFano.load(folder, at + x) for x in ("words", "pointers")))
+        return cls(levels, values)
+
+    def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The node of ``level`` below each parent that has the word; -1 if there is none, or no parent (-1)."""
+        out = np.full(len(parent), -1, np.int64)
+        alive = np.flatnonzero(parent >= 0)
+        words, pointers = self.levels[level]
+        if not len(alive) or not words.n:
+            return out
+        # queries that follow each other often share their parent: it is looked up once
+        above, same = np.unique(parent[alive], return_inverse=True)
+        begin, end = pointers.get(above), pointers.get(above + 1)
+        base = np.where(begin > 0, words.get(np.maximum(begin - 1, 0)) + 1, 0)
+        begin, end, wanted = begin[same], end[same], base[same] + word[alive].astype(np.int64)
+        at = words.successor(wanted, begin, end)
+        found = at < end
+        found[found] = words.get(at[found]) == wanted[found]
+        out[alive[found]] = at[found]
         return out
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The node of each n-gram on the level of its last word, -1 where the trie lacks it."""
+        node = np.zeros(len(grams), np.int64)
+        for level in range(grams.shape[1]):
+            node = self.children(level, node, grams[:, level])
+        return node
+
+
+def level_nodes(grams: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes for ``NgramTrie.build`` from sorted distinct n-grams of one order."""
+    n, order = grams.shape
+    parent, out = np.zeros(n, np.int64), []
+    for level in range(order):
+        new = np.ones(n, bool)
+        new[1:] = (grams[1:, : level + 1] != grams[:-1, : level + 1]).any(axis=1)
+        out.append((parent[new], grams[new, level].astype(np.int64)))
+        parent = np.cumsum(new) - 1
+    return out
