@@ -66,8 +66,9 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def build_blocks(docs: DataFrame, lower: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored blocks of all documents; words are runs of anything but ASCII white space."""
+def build_blocks(docs: DataFrame, lower: bool, id_col: str = "doc_id", text_col: str = "text", share: float = 1.0) -> DataFrame:
+    """Stored blocks of all documents; words are runs of anything but ASCII white space.  ``share`` makes blocks smaller."""
+    most = int(BLOCK_WORDS * share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = count(TaskContext.get().partitionId() << 24)
@@ -92,7 +93,7 @@ def build_blocks(docs: DataFrame, lower: bool, id_col: str = "doc_id", text_col:
                 ids.append(doc_id)
                 codes.append(np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found)))
                 total += len(found)
-                if total >= BLOCK_WORDS:
+                if total >= most:
                     yield close()
                     ids, codes, vocabulary, total = [], [], defaultdict(count().__next__), 0
         if ids:

@@ -58,6 +58,8 @@ STEPS, TOP = 2048, 15.0
 MISSING = 65535
 #: Ids of the start and end of a text; words come after.
 START_ID, FIRST_ID = 0, 1
+#: Blocks are this much smaller than elsewhere, as their trigrams take several numbers a word.
+BLOCK_SHARE = 0.75
 #: The end of a text as a vocabulary entry; no word holds a blank.
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
@@ -185,11 +187,13 @@ class _Grams:
         self.c = c
         pair, self.place2 = np.unique((c.before << 32) | c.token, return_inverse=True)
         self.v, self.w = pair >> 32, pair & 0xFFFFFFFF
+        del pair
         earlier = np.concatenate([[0], c.before[:-1]]) if len(c.token) else c.token
         earlier[c.firsts] = 0
         triple, self.place3 = np.unique((self.place2 << 32) | earlier, return_inverse=True)
         self.owner, self.u = triple >> 32, triple & 0xFFFFFFFF
-        self.seen = np.bincount(self.place3, np.repeat(c.trained, c.lengths), len(triple)).astype(np.int64)
+        del triple, earlier
+        self.seen = np.bincount(self.place3, np.repeat(c.trained, c.lengths), len(self.u)).astype(np.int64)
         v_id, w_id, u_id = c.ids[self.v], c.ids[self.w], c.ids[self.u]
         self.split = hot.of(v_id, w_id) >= 0
         split = self.split[self.owner]
@@ -232,6 +236,8 @@ def _answer_grams(rows: list[dict], kind, hot: _Pairs, priors: tuple[float, floa
     got = [unbundle(r["grams"], np.int64, kind, np.int64, np.uint16, np.uint32, kind, np.uint32) for r in rows]
     v = np.concatenate([np.cumsum(g[0]) for g in got])
     w, v_count, unigram, runs, u, seen = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(1, 7))
+    sizes = [(len(g[4]), len(g[5])) for g in got]
+    del got
     _, first2, same2 = np.unique((_ranked(v) << 32) | _ranked(w), return_index=True, return_inverse=True)
     owner = np.repeat(same2, runs)
     triple, first3, same3 = np.unique((owner << 32) | _ranked(u), return_index=True, return_inverse=True)
@@ -265,7 +271,7 @@ def _answer_grams(rows: list[dict], kind, hot: _Pairs, priors: tuple[float, floa
         stored = _archive(folder) if keep else None
         trie = NgramTrie.load(folder)
         value2, backoff, value3 = _look_up(trie, v2, w2, above, u3)
-    out = [bundle(a, b, c) for a, b, c in zip(*(_cut(x, [len(g[k]) for g in got]) for x, k in ((value2[same2], 4), (backoff[same2], 4), (value3[same3], 5))))]
+    out = [bundle(a, b, c) for a, b, c in zip(*(_cut(x, [n[k] for n in sizes]) for x, k in ((value2[same2], 0), (backoff[same2], 0), (value3[same3], 1))))]
     return out + [stored] if keep else out
 
 
@@ -312,7 +318,7 @@ def score_documents(
     with passing(spark):
         coded, n_tokens, n_words, kind = _coded_blocks(docs, is_training, id_col, text_col)
     hot = _hot_pairs(coded, HOT_SHARE * n_tokens)
-    shards = shard_count(coded, 0.7)
+    shards = shard_count(coded, 1.2)
     base = lambda counts: np.log10((counts + 1) / (n_tokens + n_words + 1))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +341,7 @@ def score_documents(
 
 def _coded_blocks(docs: DataFrame, is_training, id_col: str, text_col: str):
     """Stored blocks in ids, training tokens, distinct training words, and the type that holds ids."""
-    blocks = build_blocks(docs, lower=True, id_col=id_col, text_col=text_col)
+    blocks = build_blocks(docs, lower=True, id_col=id_col, text_col=text_col, share=BLOCK_SHARE)
     shards = shard_count(blocks, 0.2)
     training = lambda row: is_training(row["doc_ids"]) if len(row["doc_ids"]) else np.zeros(0, bool)
 
