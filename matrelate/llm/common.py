@@ -115,15 +115,16 @@ def give_back() -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, path: str | None = None, **options) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors: every later stage
     reads files that all executors see, so the job's shuffle files can go as
-    soon as it has ended.  ``keep`` leaves the table to the block outside.
+    soon as it has ended.  ``keep`` leaves the table to the ``passing`` block
+    outside; ``path`` to the caller.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name, -2 if keep else -1)
+    path = path or scratch_path(spark, name, -2 if keep else -1)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -41,6 +41,10 @@ UNKNOWN = "und"
 TRAIN_DOCS = 3000
 TYPICAL = 0.5
 MIN_COUNT = 3
+#: A text is none of its language below this share of the score that all but this part of its labelled texts reach.
+LEAST_SHARE, LEAST_QUANTILE = 0.9, 0.001
+#: How far a share may fall short by chance, times the root of the number of n-grams.
+SLACK = 2.0
 #: log2 of the filters' length in bits.
 FILTER_BITS = 21
 #: Odd multipliers of the filters' hash functions.
@@ -107,16 +111,20 @@ class Model:
         return [x for s in self.slices for x in s.languages]
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[bytes | None]) -> list[tuple[str, float, int]]:
+        """Language, score and number of n-grams of each text."""
         letters = [bool(t) and _LETTER.search(t.decode(errors="replace")) is not None for t in texts]
         if not self.slices:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0)] * len(texts)
         keys, cuts = _grams([_prepare(t) for t in texts])
         shares = np.concatenate([s.count(keys, cuts) for s in self.slices], axis=1)
-        best, names = shares.argmax(axis=1), self.languages
+        best, names, sizes = shares.argmax(axis=1), self.languages, np.diff(cuts).tolist()
         out = []
         for k, is_text in enumerate(letters):
             score = float(shares[k, best[k]])
-            out.append((names[best[k]] if score > 0 else self.fallback, score) if is_text else (UNKNOWN, 0.0))
+            out.append((names[best[k]] if score > 0 else self.fallback, score, sizes[k]) if is_text else (UNKNOWN, 0.0, 0))
         return out
 
 
@@ -126,10 +134,6 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return Model([], UNKNOWN)
-    chosen: Column = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit(77), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    for lang, n in totals.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < train_docs / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[bytes]] = defaultdict(list)
@@ -140,13 +144,48 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
             keys, n = np.unique(_grams(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([keys.tobytes()]), pa.array([n.astype(np.int64).tobytes()])], names=["lang", "keys", "n"])
 
-    sample = rows.where(chosen).select("text", "lang").repartition(4)
+    sample = rows.where(_drawn(totals, train_docs)).select("text", "lang").repartition(4)
     parts: dict[str, list] = defaultdict(list)
     for r in map_batches(sample, count, "lang string, keys binary, n binary").collect():
         parts[r["lang"]].append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.int64)))
     return _model(parts, totals)
 
 
+def _drawn(totals: dict[str, int], train_docs: int) -> Column:
+    """About ``train_docs`` rows of each language, by a hash of the id."""
+    chosen: Column = F.lit(False)
+    draw = F.pmod(F.xxhash64(F.lit(77), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    for lang, n in totals.items():
+        chosen = chosen | ((F.col("lang") == lang) & (draw < train_docs / n))
+    return chosen
+
+
+def least_scores(docs: DataFrame, model: Model, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the score under which a text is no text of it: ``LEAST_SHARE`` of the ``LEAST_QUANTILE`` of labelled rows that the model gets right.
+
+    Read on a bounded sample, as the fit is.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not totals:
+        return {}
+    judged = identify(rows.where(_drawn(totals, train_docs)), model, carry=["lang"]).where("record.lang = lang_pred")
+    lows = judged.groupBy("lang_pred").agg(F.percentile_approx("score", LEAST_QUANTILE, 10_000).alias("low"))
+    return {r["lang_pred"]: LEAST_SHARE * r["low"] for r in lows.collect()}
+
+
+def fits(least: dict[str, float]) -> Column:
+    """Whether a judged text (lang_pred, score, n_grams) is one of its language, given ``least_scores``.
+
+    The fewer n-grams, the more a share may fall short by chance, so ``SLACK``
+    over the root of their number is allowed: one rule for texts of any length.
+    """
+    limit = F.lit(0.0)
+    for lang, low in least.items():
+        limit = F.when(F.col("lang_pred") == lang, F.lit(low)).otherwise(limit)
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") + SLACK / F.sqrt(F.greatest("n_grams", F.lit(1))) >= limit)
+
+
 def _model(parts: dict, totals: dict[str, int]) -> Model:
     languages = sorted(parts)
     every = np.unique(np.concatenate([k for x in parts.values() for k, _ in x])) if parts else np.zeros(0, np.uint64)
@@ -169,7 +208,7 @@ def _model(parts: dict, totals: dict[str, int]) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``record`` (the columns in ``carry``, by default all), ``lang_pred`` and ``score``.  The model has a fixed size."""
+    """``record`` (the columns in ``carry``, by default all), ``lang_pred``, ``score`` and ``n_grams``.  The model has a fixed size."""
     carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("record"), F.col(text_col).alias("text"))
@@ -177,13 +216,12 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in grouped(raw_texts(batch.column(1)), GROUP_BYTES):
-                got = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(texts)), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
-                    names=["record", "lang_pred", "score"],
-                )
+                got = shared.value.judge(texts)
+                columns = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), *columns], names=["record", "lang_pred", "score", "n_grams"])
 
-    schema = T.StructType([source.schema["record"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    judged = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())]
+    schema = T.StructType([source.schema["record"], *judged])
     return map_batches(source, run, schema)
 
 

@@ -16,7 +16,8 @@ def shingles(text, size):
     return {tuple(w[p : p + size]) for p in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
-def brute(rows, size, percent):
+def groups_of(rows, size, percent):
+    """Rows by connected component, found by comparing all pairs."""
     sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -30,11 +31,17 @@ def brute(rows, size, percent):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 parent[root(a)] = root(b)
+    out = {}
+    for k, row in enumerate(rows):
+        out.setdefault(root(k), []).append(row)
+    return list(out.values())
+
+
+def brute(rows, size, percent):
     out = []
-    for k, (i, _) in enumerate(rows):
-        ids = [rows[x][0] for x in range(len(rows)) if root(x) == root(k) and rows[x][0] is not None]
-        component = min(ids) if ids else None
-        out.append((i, len(sets[k]), component, i == component))
+    for group in groups_of(rows, size, percent):
+        component = min((i for i, _ in group if i is not None), default=None)
+        out += [(i, len(shingles(t, size)), component, i == component) for i, t in group]
     return sorted(out, key=str)
 
 

@@ -1,13 +1,29 @@
 """The stages on a small corpus, each against brute force on its own input."""
 
+import hashlib
+from collections import Counter
+
 import public_tokenizers
 import pytest
 import sentencepiece
 from conftest import frame, invented
+from pyspark.sql import functions as F
 from test_decontamination import brute as contaminated
-from test_near_dedup import brute as near
+from test_near_dedup import groups_of
 
 import corpus_pipeline
+from matrelate.llm import language_id
+
+
+def near(rows, size, percent):
+    """One row of each group: that of the smallest id, then digest; all rows without words."""
+    out = []
+    for group in groups_of(rows, size, percent):
+        if group[0][1] and group[0][1].split():
+            out.append(min(group, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest())))
+        else:
+            out += group
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -31,16 +47,16 @@ def test_stages(spark, sf_dir):
         assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
         after = rows(out)
         if name == "language ID":
-            gone = set(map(str, before)) - set(map(str, after))
-            assert {i for i, t in before if str((i, t)) in gone} >= {23, 24, 25, 35} and 26 in dict(after)
+            gone = Counter(before) - Counter(after)
+            assert {i for i, _ in gone} >= {23, 24, 25, 35} and 26 in dict(after) and not Counter(after) - Counter(before)
+            assert {i for i, _ in gone} <= {23, 24, 25, 33, 34, 35}
         elif name == "exact dedup":
             first = {}
             for i, t in before:
                 first[t] = min(x for x in (first.get(t), i) if x is not None) if (first.get(t), i) != (None, None) else None
             assert sorted(after, key=str) == sorted(((i, t) for t, i in first.items()), key=str)
         elif name == "near dedup":
-            kept = {i for i, _, _, k in near(before, 5, 80) if k}
-            assert {i for i, _ in after} == kept | {i for i, _ in after if i is None}
+            assert sorted(after, key=str) == sorted(near(before, 5, 80), key=str)
         else:
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
             hit = {i for i, _, n, _ in contaminated(before, items, 10) if n}
@@ -51,6 +67,23 @@ def test_stages(spark, sf_dir):
     assert final == {i: library.encode(t) for i, t in rows(docs)}
 
 
+@pytest.mark.parametrize("unknown", ["de", "en", "es", "fr"])
+def test_texts_of_no_known_language_go(spark, tmp_path, unknown):
+    """With the labels of one language taken away, its texts go and all others stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[a-z]'")
+    known = F.when(F.col("lang") != unknown, F.col("lang"))
+    docs = docs.withColumn("source", F.col("lang")).withColumn("lang", known)
+    left = {r["source"]: r["count"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).groupBy("source").count().collect()}
+    all_ = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    assert left.get(unknown, 0) <= 0.1 * all_[unknown]
+    assert all(left[x] >= 0.995 * all_[x] for x in all_ if x != unknown)
+
+
+def test_short_texts_are_not_judged_by_chance():
+    """The slack shrinks with the number of n-grams, at every length."""
+    assert language_id.SLACK / 4**0.5 >= 1 > language_id.SLACK / 400**0.5 + 0.5
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "token_ids"] and out.count() > 5
