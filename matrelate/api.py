@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .functions import analysis, bounds, dense, density, inverse, polynomial, transcendental
-from .functions.control import SolverParameters
-from .matrix import Matrix, solve
-from .operators import aggregate, algebra, select
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from .functions.control import Logger, SolverParameters, Timers
+from .matrix import COMPLEX, REAL, Matrix, solve
+from .operators import aggregate, algebra, generate, select
+from .sources import binary, matrix_market
 
 
 def _method(function: Callable, count: int, iterates: bool = True) -> staticmethod:
@@ -136,6 +139,90 @@ class MatrixMapper:
     Map = staticmethod(select.map_function)
 
 
+class TripletList:
+    """Entries (i, j, v) or (i, j, re, im) before they are a matrix; places may repeat.  Methods return new lists."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    @classmethod
+    def Of(cls, spark: SparkSession, rows: list[tuple], is_complex: bool = False) -> TripletList:  # noqa: N802
+        return cls(spark.createDataFrame(rows, COMPLEX if is_complex else REAL))
+
+    @classmethod
+    def OfMatrix(cls, m: Matrix) -> TripletList:  # noqa: N802
+        return cls(m.df)
+
+    def Append(self, *rows: tuple) -> TripletList:  # noqa: N802
+        return TripletList(select.merge_lists(self.df, self.df.sparkSession.createDataFrame(list(rows), self.df.schema)))
+
+    def Merge(self, *others: TripletList) -> TripletList:  # noqa: N802
+        return TripletList(select.merge_lists(self.df, *[x.df for x in others]))
+
+    def SetTriplet(self, i: int, j: int, *value: float) -> TripletList:  # noqa: N802
+        return TripletList(select.set_triplet(self.df, i, j, *value))
+
+    def GetTriplet(self, i: int, j: int):  # noqa: N802
+        return select.triplet_at(self.df, i, j)
+
+    def Size(self) -> int:  # noqa: N802
+        return select.list_size(self.df)
+
+    def Resize(self, size: int) -> TripletList:  # noqa: N802
+        return TripletList(select.resize_list(self.df, size))
+
+    def Sort(self) -> TripletList:  # noqa: N802
+        return TripletList(select.sort_triplets(self.df))
+
+    def Shift(self, rows: int, cols: int) -> TripletList:  # noqa: N802
+        return TripletList(select.shift(self.df, rows, cols))
+
+    def Symmetrize(self, kind: str) -> TripletList:  # noqa: N802
+        return TripletList(generate.symmetrize_triplets(self.df, kind))
+
+    def Map(self, keep: Column | None = None, **columns: Column) -> TripletList:  # noqa: N802
+        return TripletList(select.map_list(self.df, keep, **columns))
+
+    def Gather(self) -> list:  # noqa: N802
+        return select.gather_list(self.df)
+
+    def FillMatrix(self, rows: int, cols: int | None = None) -> Matrix:  # noqa: N802
+        return Matrix.from_triplets(self.df, rows, cols)
+
+
+class Permutation:
+    """A reordering of 1 .. n: default, reverse, or random on the first ``limit`` indices."""
+
+    def __init__(self, spark: SparkSession, n: int, kind: str = "default", seed: int = 0, limit: int | None = None):
+        self.n, self.table = n, generate.permutation(spark, n, kind, seed, limit)
+
+    def Matrix(self, by_rows: bool = True) -> Matrix:  # noqa: N802
+        return generate.permutation_matrix(self.table, self.n, by_rows)
+
+    def Apply(self, m: Matrix, undo: bool = False) -> Matrix:  # noqa: N802
+        return algebra.permute(m, self.table, undo=undo)
+
+
+#: Partitions in a grid of row blocks and column blocks.
+ProcessGrid = select.ProcessGrid
+#: Nested log lines, and named wall-clock timers.
+Logging, Timer = Logger, Timers
+
+
+class MatrixFiles:
+    ReadMatrixMarket = staticmethod(matrix_market.read)
+    WriteMatrixMarket = staticmethod(matrix_market.write)
+    ReadBinary = staticmethod(binary.read)
+    WriteBinary = staticmethod(binary.write)
+
+
+class MatrixReduction:
+    Compose = staticmethod(select.compose)
+    GatherAndCompose = staticmethod(select.gather_compose)
+    Split = staticmethod(select.split)
+    RunTogether = staticmethod(select.together)
+
+
 class _Coefficients:
     """Coefficients by degree, from 0."""
 

@@ -196,9 +196,15 @@ def occupations(levels: np.ndarray, ne: float, beta: float | None = None) -> tup
 
 
 def dense_density(h, isq, ne: float, beta: float | None = None):
-    """Density by eigendecomposition on one node; returns (density, energy, chemical potential)."""
-    from ..matrix import Dense
+    """Density by eigendecomposition on one node; returns (density, energy, chemical potential).
 
+    Larger matrices are gathered, up to what one node holds.
+    """
+    from ..matrix import Dense, Matrix
+
+    if isinstance(h, Matrix):
+        d, energy, mu = dense_density(Dense(h.to_numpy()), Dense(isq.to_numpy()), ne, beta)
+        return Matrix.from_numpy(h.spark, d.a), energy, mu
     wh = isq.a @ h.a @ isq.a.conj().T
     levels, vectors = np.linalg.eigh(wh)
     filled, mu = occupations(levels, ne, beta)

@@ -110,11 +110,9 @@ def inverse_root(a, p: int, parameters: SolverParameters = DEFAULT):
     if p == 4:
         return inverse_square_root(square_root(a, parameters), parameters)
     one = a.eye()
-    _, high = a.bounds()
     # the inverse target-th root of the fourth root, squared `squares` times, is the result
     target, squares = {0: (p // 4, 0), 2: (p // 2, 1)}.get(p % 4, (p, 2))
     fourth = square_root(square_root(a, parameters), parameters)
-    scale = high / math.sqrt(2.0) ** (1.0 / p)
 
     def step(state):
         o, m = state
@@ -122,8 +120,7 @@ def inverse_root(a, p: int, parameters: SolverParameters = DEFAULT):
         m = power(x, target) @ m
         return ((o @ x), m), (m - one).norm1()
 
-    fourth_bound = fourth.bounds()[1]
-    scale = max(fourth_bound, scale**0.25)
+    scale = fourth.bounds()[1]
     out, _ = iterate(step, (one * scale ** (-1.0 / target), fourth * (1.0 / scale)), parameters)
     for _ in range(squares):
         out = out @ out

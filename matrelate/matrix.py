@@ -12,9 +12,10 @@ holds easily.  Solvers are written once against that interface.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from . import scratch
 
 #: Square matrices up to this dimension are solved on the driver (2 MB of doubles).
 LOCAL_LIMIT = 512
+#: A matrix of at most this dimension is gathered where a method needs it in one place (512 MB of doubles).
+GATHER_LIMIT = 16 * LOCAL_LIMIT
 
 REAL = "i long, j long, v double"
 COMPLEX = "i long, j long, re double, im double"
@@ -37,6 +40,8 @@ class Matrix:
     is_complex: bool = False
     threshold: float = 0.0
     is_identity: bool = False
+    #: what has been found out about the entries, such as their number
+    known: dict = field(default_factory=dict, compare=False, repr=False)
 
     # -- construction ----------------------------------------------------
 
@@ -57,12 +62,13 @@ class Matrix:
     @classmethod
     def from_numpy(cls, spark: SparkSession, array: np.ndarray, keep_zeros: bool = False) -> Matrix:
         """Entries of a small array."""
-        at = np.argwhere(np.ones(array.shape, bool) if keep_zeros else array != 0)
-        cells = array[at[:, 0], at[:, 1]] if len(at) else np.zeros(0)
-        if np.iscomplexobj(array):
-            data = [(int(i) + 1, int(j) + 1, float(x.real), float(x.imag)) for (i, j), x in zip(at, cells)]
-            return cls(spark.createDataFrame(data, COMPLEX), *array.shape, True)
-        return cls(spark.createDataFrame([(int(i) + 1, int(j) + 1, float(x)) for (i, j), x in zip(at, cells)], REAL), *array.shape)
+        i, j = np.nonzero(np.ones(array.shape, bool) if keep_zeros else array)
+        cells, is_complex = array[i, j], np.iscomplexobj(array)
+        parts = {"re": cells.real, "im": cells.imag} if is_complex else {"v": cells}
+        table = pa.table({"i": pa.array(i + 1, pa.int64()), "j": pa.array(j + 1, pa.int64()), **{k: pa.array(np.ascontiguousarray(x, float)) for k, x in parts.items()}})
+        if not len(i):
+            return cls(spark.createDataFrame([], COMPLEX if is_complex else REAL), *array.shape, is_complex)
+        return cls(spark.createDataFrame(table), *array.shape, is_complex)
 
     # -- views -----------------------------------------------------------
 
@@ -81,15 +87,21 @@ class Matrix:
         return self.df.sparkSession
 
     def with_df(self, df: DataFrame, **changes) -> Matrix:
-        return replace(self, df=df, is_identity=False, **changes)
+        return replace(self, df=df, is_identity=False, known={}, **changes)
 
     def settled(self) -> Matrix:
         return replace(self, df=scratch.settle(self.df))
 
+    def entries(self) -> int:
+        """Stored entries, counted once."""
+        if "entries" not in self.known:
+            self.known["entries"] = self.n if self.is_identity else self.df.count()
+        return self.known["entries"]
+
     def to_numpy(self) -> np.ndarray:
         """The whole matrix on the driver; bounded by the dimensions."""
-        if max(self.rows, self.cols) > 16 * LOCAL_LIMIT:
-            raise ValueError(f"{self.rows} x {self.cols} is too large for one node")
+        if max(self.rows, self.cols) > GATHER_LIMIT:
+            raise ValueError(f"{self.rows} x {self.cols} is too large for one node; methods that need the whole matrix stop at {GATHER_LIMIT}")
         out = np.zeros((self.rows, self.cols), complex if self.is_complex else float)
         data = self.df.toPandas()
         cells = data["re"].to_numpy() + 1j * data["im"].to_numpy() if self.is_complex else data["v"].to_numpy()
@@ -104,13 +116,13 @@ class Matrix:
         return replace(generate.identity(self.spark, self.n), threshold=self.threshold)
 
     def __matmul__(self, other: Matrix) -> Matrix:
-        from .operators import algebra
+        from .operators import kernels
 
         if self.is_identity:
             return other
         if other.is_identity:
             return self
-        return algebra.gemm(self, other, threshold=self.threshold).settled()
+        return kernels.multiply(self, other, threshold=self.threshold).settled()
 
     def __add__(self, other: Matrix) -> Matrix:
         from .operators import algebra

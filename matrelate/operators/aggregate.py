@@ -48,6 +48,15 @@ def norm1(m: Matrix) -> float:
     return norm1_table(m).first()[0]
 
 
+def frobenius2_table(m: Matrix) -> DataFrame:
+    """Sum of squared magnitudes, the squared Frobenius norm."""
+    return m.df.agg(F.coalesce(F.sum(sum((F.col(c) * F.col(c) for c in m.values), F.lit(0.0))), F.lit(0.0)).alias("norm2"))
+
+
+def frobenius2(m: Matrix) -> float:
+    return frobenius2_table(m).first()[0]
+
+
 def sigma_table(m: Matrix) -> DataFrame:
     """1 / norm1^2, the starting factor of the inverse iteration."""
     return norm1_table(m).select((1.0 / (F.col("norm") * F.col("norm"))).alias("sigma"))
@@ -80,10 +89,15 @@ def nnz(m: Matrix) -> int:
     return m.df.count()
 
 
+def load_balance_table(m: Matrix) -> DataFrame:
+    """Smallest and largest number of entries among the partitions that hold any."""
+    per = m.df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.min("n"), F.lit(0)).alias("smallest"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+
+
 def load_balance(m: Matrix) -> tuple[int, int]:
-    """Smallest and largest number of entries in a partition."""
-    row = m.df.groupBy(F.spark_partition_id()).count().agg(F.min("count"), F.max("count")).first()
-    return row[0] or 0, row[1] or 0
+    row = load_balance_table(m).first()
+    return row["smallest"], row["largest"]
 
 
 def information(m: Matrix) -> dict:

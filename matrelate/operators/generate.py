@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..matrix import COMPLEX, REAL, Matrix
 
 
+#: Indices of a random permutation that one task orders.
+PERMUTATION_BUCKET = 200_000
+
+
 def empty(spark: SparkSession, n: int, is_complex: bool = False) -> Matrix:
     return Matrix(spark.createDataFrame([], COMPLEX if is_complex else REAL), n, n, is_complex)
 
@@ -39,9 +43,16 @@ def permutation(spark: SparkSession, n: int, kind: str = "default", seed: int =
     if kind == "reverse":
         return ids.select("idx", (F.lit(n + 1) - F.col("idx")).alias("new_idx"))
     top = n if limit is None else limit
-    shuffled = np.random.Generator(np.random.PCG64(seed)).permutation(top) + 1
-    order = np.concatenate([shuffled, np.arange(top + 1, n + 1)])
-    return spark.createDataFrame([(k + 1, int(x)) for k, x in enumerate(order)], "idx long, new_idx long")
+    # order by a seeded hash: indices are scattered into buckets, and numbered bucket by bucket
+    buckets = top // PERMUTATION_BUCKET + 1
+    drawn = ids.where(F.col("idx") <= top).withColumn("hash", F.xxhash64(F.lit(seed), "idx"))
+    drawn = drawn.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    counts = dict(drawn.groupBy("bucket").count().collect())  # one number a bucket
+    starts = np.concatenate([[0], np.cumsum([counts.get(b, 0) for b in range(buckets)])])
+    before = F.broadcast(spark.createDataFrame([(b, int(starts[b])) for b in range(buckets)], "bucket long, before long"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("hash", "idx"))
+    moved = drawn.withColumn("place", place).join(before, "bucket").select("idx", (F.col("before") + F.col("place")).cast("long").alias("new_idx"))
+    return moved.unionByName(ids.where(F.col("idx") > top).select("idx", F.col("idx").alias("new_idx")))
 
 
 def permutation_matrix(perm: DataFrame, n: int, by_rows: bool = True) -> Matrix:

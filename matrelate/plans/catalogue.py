@@ -21,6 +21,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 N = tables.NATIONS
 TIGHT = SolverParameters(converge_diff=1e-10, max_iterations=200)
+#: For solvers that run as Spark jobs: each round costs some, and errors square from round to round.
+FAR = SolverParameters(converge_diff=1e-7, max_iterations=100)
 
 
 def query(name: str, oracle: str | None = None):
@@ -170,6 +172,17 @@ def _gemm_complex(spark, d):
     return algebra.gemm(m, m, threshold=-1.0).df
 
 
+@query("gemm_blocked_complex", _NN + "SELECT a.i, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM CC a JOIN CC b ON a.j = b.i GROUP BY a.i, b.j")
+def _gemm_blocked_complex(spark, d):
+    m = _complex(spark, d).settled()
+    return kernels.gemm_blocked(m, m, threshold=-1.0, size=8).df.where(f"i <= {N} and j <= {N}")
+
+
+@query("symmetrize_hermitian", _NN + "SELECT i, j, re, im FROM CC WHERE i >= j UNION ALL SELECT j, i, re, -im FROM CC WHERE i > j")
+def _symmetrize_hermitian(spark, d):
+    return generate.symmetrize_triplets(_complex(spark, d).df.where("i >= j"), "hermitian")
+
+
 @query("gemm_mixed", _NN + "SELECT a.i, b.j, sum(a.v * b.re) AS re, sum(a.v * b.im) AS im FROM NN a JOIN CC b ON a.j = b.i GROUP BY a.i, b.j")
 def _gemm_mixed(spark, d):
     return algebra.gemm(tables.nn(spark, d), _complex(spark, d), threshold=-1.0).df
@@ -435,9 +448,9 @@ def _horner(spark, d):
     return rounded(solve(polynomial.horner, _dd(spark, d), coefficients=HALVES))
 
 
-@_chain_query("horner_distributed", ["E", "DD"], lambda c: c.polynomial("DD", HALVES[:4]))
+@_chain_query("horner_distributed", ["E", "DD"], _STANDARD)
 def _horner_distributed(spark, d):
-    return rounded(solve(polynomial.horner, _dd(spark, d), distributed=True, coefficients=HALVES[:4]))
+    return rounded(solve(polynomial.horner, _dd(spark, d), distributed=True, coefficients=HALVES))
 
 
 @_chain_query("paterson_stockmeyer", ["E", "DD"], _STANDARD)
@@ -477,9 +490,9 @@ def _invert(spark, d):
     return rounded(solve(inverse.invert, _dd(spark, d), parameters=TIGHT))
 
 
-@_chain_query("invert_distributed", ["RR"], lambda c: c.inverse("RR"))
+@_chain_query("invert_distributed", ["DD"], lambda c: c.inverse("DD"))
 def _invert_distributed(spark, d):
-    return rounded(solve(inverse.invert, tables.rr(spark, d), distributed=True, parameters=SolverParameters(converge_diff=1e-7)))
+    return rounded(solve(inverse.invert, _dd(spark, d), distributed=True, parameters=FAR))
 
 
 @_chain_query("pseudo_inverse", ["DD"], lambda c: c.inverse("DD"))
@@ -497,6 +510,11 @@ def _inverse_sqrt(spark, d):
     return rounded(solve(inverse.inverse_square_root, _dd(spark, d), parameters=TIGHT))
 
 
+@_chain_query("sqrt_distributed", ["E", "DD"], lambda c: c.sqrt_pair("DD")[0])
+def _sqrt_distributed(spark, d):
+    return rounded(solve(inverse.square_root, _dd(spark, d), distributed=True, parameters=FAR))
+
+
 for _order in (2, 3):
     _chain = Chain("E", "DD")
     ORACLES[f"sqrt_order{_order}"] = _chain.entries(_chain.sqrt_pair("DD")[0])
@@ -531,6 +549,11 @@ def _sign(spark, d):
     return rounded(solve(inverse.sign, tables.hh(spark, d), parameters=TIGHT))
 
 
+@_chain_query("sign_distributed", ["HH"], lambda c: c.sign("HH"))
+def _sign_distributed(spark, d):
+    return rounded(solve(inverse.sign, tables.hh(spark, d), distributed=True, parameters=FAR))
+
+
 def _polar_sql(c: Chain) -> str:
     # DD is positive definite, so the unitary factor of HH DD is what remains of it after dividing by its own modulus
     m = c.mul("HH", "DD")
@@ -546,11 +569,23 @@ def _polar(spark, d):
     return rounded(solve(inverse.polar, m, parameters=TIGHT)[0])
 
 
+@_chain_query("polar_factor", ["HH", "DD"], lambda c: c.mul(c.transpose(_polar_sql(c)), c.mul("HH", "DD")))
+def _polar_factor(spark, d):
+    """The second factor, which is positive semidefinite."""
+    m = algebra.gemm(tables.hh(spark, d), tables.dd(spark, d))
+    return rounded(solve(inverse.polar, m, parameters=TIGHT)[1])
+
+
 @_chain_query("cg_solve", ["DD", "HH"], lambda c: c.mul(c.inverse("DD"), "HH"))
 def _cg(spark, d):
     return rounded(solve(inverse.conjugate_gradient, _dd(spark, d), tables.hh(spark, d), parameters=TIGHT))
 
 
+@_chain_query("cg_distributed", ["DD", "HH"], lambda c: c.mul(c.inverse("DD"), "HH"))
+def _cg_distributed(spark, d):
+    return rounded(solve(inverse.conjugate_gradient, _dd(spark, d), tables.hh(spark, d), distributed=True, parameters=SolverParameters(converge_diff=1e-9)))
+
+
 # -- transcendental --------------------------------------------------------------
 
 
@@ -565,6 +600,11 @@ for _name, _f in {"exp": transcendental.exponential, "exp_pade": transcendental.
     QUERIES[_name] = lambda spark, d, f=_f: rounded(solve(f, _dd(spark, d), parameters=TIGHT))
 
 
+_chain = Chain("E", "DD")
+ORACLES["exp_distributed"] = _chain.entries(_exp_sql(_chain))
+QUERIES["exp_distributed"] = lambda spark, d: rounded(solve(transcendental.exponential, _dd(spark, d), distributed=True, parameters=FAR))
+
+
 def _log_sql(c: Chain) -> str:
     """2^4 times the series of the logarithm of the 16th root, by artanh."""
     x = "DD"
@@ -632,6 +672,42 @@ def _eigenvalues_partial(spark, d):
     return _rounded_values(dense.eigendecomposition(tables.ns(spark, d), 5)[0])
 
 
+def _moments(values: DataFrame, powers: list[int], scale: float = 1.0) -> DataFrame:
+    """Sums of powers of eigenvalues, which are traces of powers of the matrix."""
+    sums = [F.sum(F.pow(F.col("value") / scale, F.lit(float(p)))).alias(str(p)) for p in powers]
+    return values.agg(*sums).select(F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("power"), (F.round(F.col(f"`{p}`"), 6) + 0.0).alias("value")) for p in powers])).alias("m")).select("m.*")
+
+
+def _moments_sql(c: Chain, m: str, powers: list[int]) -> str:
+    """Traces of powers of a matrix expression."""
+    power, found = m, []
+    for p in range(1, max(powers) + 1):
+        if p > 1:
+            power = c.mul(power, m)
+        if p in powers:
+            found.append(f"SELECT {p}::BIGINT AS power, round({c.trace(power)}, 6) + 0.0 AS value")
+    return c.select(" UNION ALL ".join(found))
+
+
+_chain = Chain("DD")
+
+
+@query("eigenvalue_moments", _moments_sql(_chain, "DD", [1, 2, 3, 4, 5]))
+def _eigenvalue_moments(spark, d):
+    return _moments(dense.eigendecomposition(_dd(spark, d))[0], [1, 2, 3, 4, 5])
+
+
+_chain = Chain("HH", "DD")
+_chain_product = _chain.mul("HH", "DD")
+
+
+@query("singular_value_moments", _moments_sql(_chain, _chain.mul(_chain.transpose(_chain_product), _chain_product), [1, 2, 3]))
+def _singular_value_moments(spark, d):
+    """Squares of the singular values of a matrix that is not symmetric, against traces of powers of M^T M."""
+    values = dense.singular_values(algebra.gemm(tables.hh(spark, d), tables.dd(spark, d)))[1]
+    return _moments(values.select("k", (F.col("value") * F.col("value")).alias("value")), [1, 2, 3])
+
+
 @_chain_query("eigen_reconstruction", ["NS"], lambda c: "NS")
 def _eigen_reconstruction(spark, d):
     values, vectors = dense.eigendecomposition(tables.ns(spark, d))
@@ -683,27 +759,84 @@ def _pivoted_cholesky(spark, d):
     return rounded(algebra.gemm(factor, select.transpose(factor)))
 
 
-@query("reduce_dimension")
+@_chain_query("pivoted_cholesky_distributed", ["RR"], lambda c: "RR")
+def _pivoted_cholesky_distributed(spark, d):
+    factor = solve(analysis.pivoted_cholesky, tables.rr(spark, d), rank=tables.REGIONS, distributed=True)
+    return rounded(algebra.gemm(factor, select.transpose(factor)))
+
+
+def _reduced_sql(c: Chain) -> str:
+    return c.mul(_projector_sql(c), "HH")
+
+
+def _trace_powers(m: Matrix, count: int) -> list[float]:
+    array, power, out = m.to_numpy(), None, []
+    for _ in range(count):
+        power = array if power is None else power @ array
+        out.append(float(np.trace(power)))
+    return out
+
+
 def _reduce_dimension(spark, d):
-    return rounded(solve(analysis.reduce_dimension, tables.hh(spark, d), dim=10, parameters=TIGHT), 4)
+    """The reduced matrix is defined up to a rotation; traces of its powers are not."""
+    m = solve(analysis.reduce_dimension, tables.hh(spark, d), dim=OCCUPIED, parameters=TIGHT)
+    rows = [(k + 1, round(x, 5) + 0.0) for k, x in enumerate(_trace_powers(m, 4))]
+    return spark.createDataFrame(rows, "power long, value double")
+
+
+def _dominant_sql(c: Chain, m: str, rounds: int) -> str:
+    """Largest eigenvalue in magnitude: powers by squaring tend to the projector on its vector."""
+    x = m
+    for _ in range(rounds):
+        x = c.lin((f"1.0 / {c.norm1(x)}", x))
+        x = c.mul(x, x)
+    return f"({c.trace(c.mul(x, m))} / {c.trace(x)})"
 
 
-@query("reduce_dimension_trace")
-def _reduce_dimension_trace(spark, d):
-    m = solve(analysis.reduce_dimension, tables.hh(spark, d), dim=10, parameters=TIGHT)
-    return aggregate.trace_table(m).select(F.round("trace", 5).alias("trace"))
+_chain = Chain("NS")
+_largest = _dominant_sql(_chain, "NS", 10)
 
 
-@query("power_bounds")
+@query("power_bounds", _chain.select(f"SELECT round({_largest}, 2) AS value"))
 def _power_bounds(spark, d):
-    value = solve(bounds.power_bounds, tables.ns(spark, d), parameters=SolverParameters(max_iterations=60, converge_diff=1e-8))
-    return spark.createDataFrame([(round(value, 3),)], "value double")
+    value = solve(bounds.power_bounds, tables.ns(spark, d), parameters=SolverParameters(max_iterations=60, converge_diff=1e-9))
+    return spark.createDataFrame([(round(value, 2),)], "value double")
 
 
-@query("load_balance")
+@_table_query("load_balance", ["SP"], "SELECT min(n) AS smallest, max(n) AS largest FROM (SELECT count(*) AS n FROM SP GROUP BY j % 7)")
 def _load_balance(spark, d):
-    low, high = aggregate.load_balance(tables.sp(spark, d))
-    return spark.createDataFrame([(low <= high,)], "ordered boolean")
+    return aggregate.load_balance_table(select.redistribute(tables.sp(spark, d), 7, "cyclic"))
+
+
+@_table_query("process_grid", ["SP"], "SELECT (floor((i - 1) * 3 / 100) * 4 + floor((j - 1) * 4 / 100))::BIGINT AS cell, count(*) AS entries FROM SP GROUP BY 1")
+def _process_grid(spark, d):
+    """Entries by the partition that holds them."""
+    placed = select.ProcessGrid(3, 4).place(tables.sp(spark, d)).df
+    return placed.groupBy(F.spark_partition_id().cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("entries"))
+
+
+@_table_query("frobenius2", ["SP"], "SELECT sum(v * v) AS norm2 FROM SP")
+def _frobenius2(spark, d):
+    return aggregate.frobenius2_table(tables.sp(spark, d))
+
+
+@_chain_query("gather_compose", ["SP"], lambda c: "SP")
+def _gather_compose(spark, d):
+    return rounded(select.gather_compose(select.split(tables.sp(spark, d).settled(), [30, 70], [55, 45]), 5))
+
+
+@_chain_query("triplet_list", ["SP"], lambda c: c.add("SELECT j AS i, i AS j, v * 2 AS v FROM (SELECT * FROM SP WHERE NOT (i = 3 AND j = 4) UNION ALL SELECT 3, 4, 7.5) WHERE v < 180"))
+def _triplet_list(spark, d):
+    changed = select.set_triplet(tables.sp(spark, d).df, 3, 4, 7.5)
+    return rounded(select.map_list(changed, F.col("v") < 180, i=F.col("j"), j=F.col("i"), v=F.col("v") * 2.0))
+
+
+@_chain_query("split_computation", ["SP"], lambda c: c.lin((1, c.mul("SP", "SP")), (1, c.transpose("SP"))))
+def _split_computation(spark, d):
+    """Two independent products that run side by side, added up."""
+    m = tables.sp(spark, d).settled()
+    left, right = select.together(lambda: algebra.gemm(m, m).settled(), lambda: select.transpose(m).settled())
+    return rounded(algebra.axpy(left, right))
 
 
 # -- density matrices ------------------------------------------------------------------
@@ -716,6 +849,11 @@ def _projector_sql(c: Chain) -> str:
     return c.lin((0.5, "E"), (-0.5, c.sign("HH")))
 
 
+_chain = Chain("E", "HH")
+ORACLES["reduce_dimension"] = _moments_sql(_chain, _reduced_sql(_chain), [1, 2, 3, 4]).replace(", 6) + 0.0 AS value", ", 5) + 0.0 AS value")
+QUERIES["reduce_dimension"] = _reduce_dimension
+
+
 def _density(name: str, f, digits: int = 5, **options) -> None:
     chain = Chain("E", "HH")
     ORACLES[name] = chain.entries(_projector_sql(chain), digits)
@@ -733,28 +871,78 @@ _density("scale_and_fold", density.scale_and_fold, ne=float(OCCUPIED), homo=-0.9
 _density("dense_density", density.dense_density, ne=float(OCCUPIED))
 
 
-@query("dense_foe")
+_chain = Chain("E", "HH")
+ORACLES["trs2_distributed"] = _chain.entries(_projector_sql(_chain), 5)
+
+
+def _trs2_distributed(spark, d):
+    return rounded(solve(density.trs2, tables.hh(spark, d), generate.identity(spark, N), distributed=True, ne=float(OCCUPIED), parameters=SolverParameters(converge_diff=1e-9))[0], 5)
+
+
+QUERIES["trs2_distributed"] = _trs2_distributed
+
+BETA = 3.0
+
+
+def _boltzmann_sql(c: Chain) -> str:
+    """exp(BETA H), by the exponential series of a 64th part."""
+    return c.squared(c.polynomial(c.lin((BETA / 64, "HH")), [1 / math.factorial(k) for k in range(13)]), 6)
+
+
+def _fermi_sql(c: Chain, boltzmann: str, mu: str) -> str:
+    """(E + exp(BETA (H - mu)))^-1."""
+    return c.inverse(c.lin((1, "E"), (f"exp(-{BETA} * {mu})", boltzmann)), 30)
+
+
+def _canonical_sql(c: Chain) -> str:
+    """Fermi occupation with OCCUPIED states: Newton's iteration for the chemical potential."""
+    boltzmann, mu = _boltzmann_sql(c), "0.0"
+    for _ in range(5):
+        f = _fermi_sql(c, boltzmann, mu)
+        slope = f"{BETA} * ({c.trace(f)} - {c.dot(f, f)})"
+        mu = c.scalar(f"{mu} + ({OCCUPIED} - {c.trace(f)}) / ({slope})")
+    return _fermi_sql(c, boltzmann, mu)
+
+
+@_chain_query("dense_foe", ["E", "HH"], _canonical_sql)
 def _dense_foe(spark, d):
-    return rounded(solve(density.dense_density, tables.hh(spark, d), generate.identity(spark, N), ne=float(OCCUPIED), beta=3.0)[0])
+    return rounded(solve(density.dense_density, tables.hh(spark, d), generate.identity(spark, N), ne=float(OCCUPIED), beta=BETA)[0])
+
 
+#: Steps so small that the adaptive integration agrees with the closed form to four digits.
+FINE_STEPS = SolverParameters(step_thresh=1e-8, converge_diff=1e-12, max_iterations=200_000)
 
-@query("wom_gc")
+
+@_chain_query("wom_gc", ["E", "HH"], lambda c: _fermi_sql(c, _boltzmann_sql(c), "0.0"), 4)
 def _wom_gc(spark, d):
-    p = SolverParameters(step_thresh=1e-4, converge_diff=1e-8)
-    return rounded(solve(density.wom_gc, tables.hh(spark, d), generate.identity(spark, N), mu=0.0, beta=3.0, parameters=p)[0], 2)
+    return rounded(solve(density.wom_gc, tables.hh(spark, d), generate.identity(spark, N), mu=0.0, beta=BETA, parameters=FINE_STEPS)[0], 4)
 
 
-@query("wom_c")
+@_chain_query("wom_c", ["E", "HH"], _canonical_sql, 4)
 def _wom_c(spark, d):
-    p = SolverParameters(step_thresh=1e-4, converge_diff=1e-8)
-    return rounded(solve(density.wom_c, tables.hh(spark, d), generate.identity(spark, N), ne=float(OCCUPIED), beta=3.0, parameters=p)[0], 2)
+    return rounded(solve(density.wom_c, tables.hh(spark, d), generate.identity(spark, N), ne=float(OCCUPIED), beta=BETA, parameters=FINE_STEPS)[0], 4)
+
+
+_chain = Chain("E", "HH")
+_occupied = _projector_sql(_chain)
+# the highest occupied level: K (H - lowest bound) has the occupied levels as its spectrum, shifted, and zeros
+_low = _chain.scalar("min(c - r) FROM (SELECT sum(CASE WHEN i = j THEN v ELSE 0 END) AS c, sum(CASE WHEN i <> j THEN abs(v) ELSE 0 END) AS r FROM HH GROUP BY j)")
+_highest = _dominant_sql(_chain, _chain.mul(_occupied, _chain.lin((1, "HH"), (f"-1.0 * {_low}", "E"))), 12)
+ORACLES["estimate_gap"] = _chain.select(f"SELECT round({_highest} + {_low}, 4) AS homo")
 
+_METHODS = {"hpcp": density.hpcp, "pm": density.pm, "trs2": density.trs2, "trs4": density.trs4}
+_chain = Chain("E", "HH")
+_occupied = _projector_sql(_chain)
+ORACLES["chemical_potential"] = _chain.select(" UNION ALL ".join(f"SELECT '{name}' AS method, round({_chain.trace(_occupied)})::BIGINT AS below, {N} - round({_chain.trace(_occupied)})::BIGINT AS above FROM (SELECT 1)" for name in _METHODS))
 
-@_table_query("chemical_potential", [], "SELECT true AS in_gap")
+
+@query("chemical_potential", ORACLES["chemical_potential"])
 def _chemical_potential(spark, d):
+    """How many levels lie below and above the chemical potential that each method finds."""
     h, one = tables.hh(spark, d).settled(), generate.identity(spark, N)
-    found = [solve(f, h, one, ne=float(OCCUPIED), parameters=TIGHT)[2] for f in (density.pm, density.trs2, density.trs4, density.hpcp)]
-    return spark.createDataFrame([(all(-0.9 < mu < 0.5 for mu in found),)], "in_gap boolean")
+    levels = np.linalg.eigvalsh(h.to_numpy())
+    found = {name: solve(f, h, one, ne=float(OCCUPIED), parameters=TIGHT)[2] for name, f in _METHODS.items()}
+    return spark.createDataFrame([(name, int((levels < mu).sum()), int((levels > mu).sum())) for name, mu in found.items()], "method string, below long, above long")
 
 
 @_chain_query("energy_density", ["DD", "HH"], lambda c: c.mul(c.mul("DD", "HH"), "DD"))
@@ -795,11 +983,13 @@ def _purification_extrapolate(spark, d):
     return rounded(solve(density.purification_extrapolate, algebra.scale(k, 0.97), one, ne=float(OCCUPIED), parameters=TIGHT), 4)
 
 
-@query("estimate_gap")
+@query("estimate_gap", ORACLES["estimate_gap"])
 def _estimate_gap(spark, d):
+    """The gap is twice the distance from the chemical potential to the highest occupied level, which is what SQL can tell."""
     h, one = tables.hh(spark, d).settled(), generate.identity(spark, N)
     k, _, mu = solve(density.trs4, h, one, ne=float(OCCUPIED), parameters=TIGHT)
-    return spark.createDataFrame([(round(solve(density.estimate_gap, h, k, mu=mu, parameters=TIGHT), 1),)], "gap double")
+    gap = solve(density.estimate_gap, h, k, mu=mu, parameters=TIGHT)
+    return spark.createDataFrame([(round(mu - gap / 2, 4),)], "homo double")
 
 
 # -- files ---------------------------------------------------------------------------
@@ -818,10 +1008,25 @@ def _matrix_market(spark, d):
     return rounded(matrix_market.read(spark, path))
 
 
+@_chain_query("market_array_roundtrip", ["NN"], lambda c: "NN")
+def _market_array(spark, d):
+    path = _scratch(spark, "market-array")
+    matrix_market.write(tables.nn(spark, d), path, "array")
+    return rounded(matrix_market.read(spark, path))
+
+
 @_chain_query("binary_roundtrip", ["SP"], lambda c: "SP")
 def _binary(spark, d):
-    m = tables.sp(spark, d)
-    return rounded(binary.from_parts(binary.parts(m), m.rows, m.cols, False))
+    path = _scratch(spark, "binary")
+    binary.write(tables.sp(spark, d), path)
+    return rounded(binary.read(spark, path))
+
+
+@query("binary_roundtrip_complex", _NN + "SELECT i, j, re, im FROM CC")
+def _binary_complex(spark, d):
+    path = _scratch(spark, "binary")
+    binary.write(_complex(spark, d), path)
+    return binary.read(spark, path).df
 
 
 @_chain_query("parquet_roundtrip", ["SP"], lambda c: "SP")

@@ -32,7 +32,8 @@ class Chain:
 
     def scalar(self, expression: str) -> str:
         """A one-value expression, as SQL to be used in a factor."""
-        return f"(SELECT x FROM {self.add(f'SELECT {expression} AS x')})"
+        column, _, source = expression.partition(" FROM ") if expression.lower().startswith(("min(", "max(")) else (expression, "", "")
+        return f"(SELECT x FROM {self.add(f'SELECT {column} AS x' + (f' FROM {source}' if source else ''))})"
 
     def trace(self, m: str) -> str:
         return f"(SELECT sum(v) FROM {m} WHERE i = j)"

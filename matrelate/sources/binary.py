@@ -32,9 +32,18 @@ def encode(rows: int, cols: int, is_complex: bool, columns: dict[str, np.ndarray
     return HEADER.pack(rows, cols, int(is_complex), len(entries)) + entries.tobytes()
 
 
-def decode(data: bytes) -> tuple[int, int, bool, np.ndarray]:
-    rows, cols, flag, count = HEADER.unpack_from(data)
-    return rows, cols, bool(flag), np.frombuffer(data, entry_type(bool(flag)), count, HEADER.size)
+def decode(data: bytes, at: int = 0) -> tuple[int, int, bool, np.ndarray]:
+    rows, cols, flag, count = HEADER.unpack_from(data, at)
+    return rows, cols, bool(flag), np.frombuffer(data, entry_type(bool(flag)), count, at + HEADER.size)
+
+
+def decode_all(data: bytes) -> Iterator[np.ndarray]:
+    """The entries of each part in a file; a line end stands behind a part."""
+    at = 0
+    while at + HEADER.size <= len(data):
+        _, _, _, entries = decode(data, at)
+        yield entries
+        at += HEADER.size + entries.nbytes + 1
 
 
 def parts(m: Matrix):
@@ -54,8 +63,8 @@ def from_parts(data, rows: int, cols: int, is_complex: bool) -> Matrix:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                _, _, _, entries = decode(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(entries[n].astype("i8" if n in "ij" else "f8")) for n in names], names=names)
+                for entries in decode_all(blob):
+                    yield pa.RecordBatch.from_arrays([pa.array(entries[n].astype("i8" if n in "ij" else "f8")) for n in names], names=names)
 
     schema = ", ".join(f"{n} {'long' if n in 'ij' else 'double'}" for n in names)
     return Matrix(data.mapInArrow(run, schema), rows, cols, is_complex)
@@ -63,9 +72,22 @@ def from_parts(data, rows: int, cols: int, is_complex: bool) -> Matrix:
 
 def read(spark: SparkSession, path: str) -> Matrix:
     """A file, or a folder of files."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("content").alias("data"))
-    rows, cols, flag, _ = decode(bytes(files.select(F.substring("data", 1, HEADER.size).alias("d")).first()["d"][: HEADER.size - 8]) + bytes(8))
-    return from_parts(files, rows, cols, flag)
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("content").alias("data"))
+    head = files.select(F.substring("data", 1, HEADER.size).alias("d")).first()
+    if head is None:
+        raise ValueError(f"{path} has no binary matrix")
+    rows, cols, flag, _ = HEADER.unpack(bytes(head["d"]))
+    return from_parts(files, rows, cols, bool(flag))
+
+
+def write(m: Matrix, path: str) -> None:
+    """A folder of files, written by the tasks that hold the entries.
+
+    The text writer copies the bytes of a string column as they are and puts
+    a line end behind each row, that is behind each part.
+    """
+    empty = m.spark.createDataFrame([(bytearray(encode(m.rows, m.cols, m.is_complex, {n: np.zeros(0) for n in ["i", "j", *m.values]})),)], "data binary")
+    parts(m).unionByName(empty).select(F.col("data").cast("string").alias("value")).write.text(path)
 
 
 def write_file(m: Matrix, path: str) -> None:

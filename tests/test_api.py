@@ -44,3 +44,27 @@ def test_density_and_polynomials(spark, spd):
     expected = np.eye(6) + a / 2 + a @ a / 4
     assert np.allclose(poly.HornerCompute(m).to_numpy(), expected)
     assert np.allclose(poly.PatersonStockmeyerCompute(m, distributed=True).to_numpy(), expected)
+
+
+def test_triplet_lists_and_permutations(spark):
+    from matrelate import api
+
+    a = api.TripletList.Of(spark, [(1, 1, 2.0), (2, 1, 3.0)]).Append((1, 1, 1.0), (3, 3, 5.0))
+    assert a.Size() == 4 and a.GetTriplet(3, 3)["v"] == 5.0 and a.Resize(2).Size() == 2
+    assert np.allclose(a.FillMatrix(3).to_numpy(), [[3, 0, 0], [3, 0, 0], [0, 0, 5]])
+    assert [tuple(r) for r in a.SetTriplet(1, 1, 9.0).Shift(1, 0).Gather()] == [(2, 1, 9.0), (3, 1, 3.0), (4, 3, 5.0)]
+    m = a.FillMatrix(3)
+    p = api.Permutation(spark, 3, "reverse")
+    assert np.allclose(p.Apply(m).to_numpy(), m.to_numpy()[::-1, ::-1]) and np.allclose(p.Apply(p.Apply(m), undo=True).to_numpy(), m.to_numpy())
+    assert np.allclose(p.Matrix().to_numpy(), np.eye(3)[::-1])
+    grid = api.ProcessGrid(1, 3)
+    assert grid.place(m).df.rdd.getNumPartitions() == 3
+
+
+def test_matrix_files(spark, tmp_path):
+    from matrelate import api
+
+    m = api.TripletList.Of(spark, [(1, 2, 0.5, -1.0)], is_complex=True).FillMatrix(2)
+    for write, read, name in ((api.MatrixFiles.WriteMatrixMarket, api.MatrixFiles.ReadMatrixMarket, "a"), (api.MatrixFiles.WriteBinary, api.MatrixFiles.ReadBinary, "b")):
+        write(m, f"{tmp_path}/{name}")
+        assert np.allclose(read(spark, f"{tmp_path}/{name}").to_numpy(), [[0, 0.5 - 1j], [0, 0]])

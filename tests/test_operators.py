@@ -164,3 +164,65 @@ def test_maps(spark):
     expected = a * np.arange(6)
     expected[2] = 0
     assert close(select.map_function(m, double, np.arange(6.0)), expected)
+
+
+@pytest.mark.parametrize("kinds", KINDS)
+def test_tiles(spark, kinds):
+    """Blocked products, real, complex and mixed, with tiles that do not divide the sides, and partial sums that overflow their bound."""
+    a, b = sparse(11, 17, 0.6, kinds[0], 1), sparse(17, 9, 0.6, kinds[1], 2)
+    x, y = Matrix.from_numpy(spark, a), Matrix.from_numpy(spark, b)
+    assert close(kernels.gemm_blocked(x, y, 0.5, size=4), 0.5 * a @ b)
+
+
+def test_tiles_flush(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "HELD_BYTES", 1)
+    a = sparse(12, 12, 0.9, False, 1)
+    x = Matrix.from_numpy(spark, a)
+    assert close(kernels.gemm_blocked(x, x, size=5), a @ a)
+
+
+def test_kernel_choice(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "DENSE_SIDE", 4)
+    full, thin = (Matrix.from_numpy(spark, sparse(12, 12, d, False, 1)) for d in (1.0, 0.05))
+    for x, y in ((full, full), (full, thin), (thin, thin)):
+        assert close(kernels.multiply(x, y), x.to_numpy() @ y.to_numpy())
+    assert full.known["entries"] == 144
+
+
+@pytest.mark.parametrize("limit", [None, 37])
+def test_random_permutation(spark, monkeypatch, limit):
+    monkeypatch.setattr(generate, "PERMUTATION_BUCKET", 10)
+    rows = sorted(tuple(r) for r in generate.permutation(spark, 60, "random", seed=5, limit=limit).collect())
+    top = limit or 60
+    assert [i for i, _ in rows] == list(range(1, 61)) and sorted(x for _, x in rows) == list(range(1, 61))
+    assert all(i == x for i, x in rows if i > top) and sum(i == x for i, x in rows if i <= top) < 10
+
+
+def test_triplet_lists(spark):
+    m = Matrix.from_numpy(spark, np.array([[1.0, 2.0], [0.0, 4.0]]))
+    changed = select.set_triplet(select.set_triplet(m.df, 1, 2, 9.0), 2, 1, 5.0)
+    assert [tuple(r) for r in select.gather_list(changed)] == [(1, 1, 1.0), (2, 1, 5.0), (1, 2, 9.0), (2, 2, 4.0)]
+    assert select.list_size(changed) == 4 and select.triplet_at(changed, 2, 1)["v"] == 5.0
+    assert [tuple(r) for r in select.gather_list(select.resize_list(changed, 2))] == [(1, 1, 1.0), (2, 1, 5.0)]
+    assert [tuple(r) for r in select.resize_list(m.df.limit(0), 2).collect()] == [(0, 0, 0.0)] * 2
+    a, b = select.gather_list(changed)[1:3]
+    assert (select.compare_triplets(a, b), select.compare_triplets(b, a), select.compare_triplets(a, a)) == (-1, 1, 0)
+    with pytest.raises(ValueError):
+        select.gather_list(changed, most=3)
+
+
+def test_grids(spark):
+    a = sparse(10, 10, 1, False, 3)
+    m = select.ProcessGrid(2, 3).place(Matrix.from_numpy(spark, a))
+    assert m.df.rdd.getNumPartitions() == 6 and close(m, a)
+    halves = select.ProcessGrid(3, 2).split()
+    assert [(g.rows, g.cols) for g in halves] == [(2, 2), (1, 2)]
+    left, right = select.together(lambda: aggregate.trace(m), lambda: aggregate.frobenius2(m))
+    assert abs(left - np.trace(a)) < 1e-9 and abs(right - (a**2).sum()) < 1e-9
+    parts = select.split(Matrix.from_numpy(spark, a), [4, 6], [7, 3])
+    assert close(select.gather_compose(parts, 3), a)
+
+
+def test_frobenius_norm_of_complex(spark):
+    a = sparse(6, 6, 0.7, True, 4)
+    assert abs(aggregate.frobenius2(Matrix.from_numpy(spark, a)) - np.linalg.norm(a) ** 2) < 1e-9

@@ -249,3 +249,51 @@ def test_logger_and_timers():
     with timers.run("x"):
         pass
     assert timers.report().startswith("x: 0.")
+
+
+@pytest.mark.parametrize("is_complex", [False, True])
+def test_cholesky_as_spark_jobs(spark, is_complex):
+    r = np.random.default_rng(8)
+    x = r.random((9, 9)) + (1j * r.random((9, 9)) if is_complex else 0)
+    a = x @ x.conj().T + 9 * np.eye(9)
+    m = Matrix.from_numpy(spark, a)
+    assert np.allclose(solve(analysis.cholesky, m, distributed=True).to_numpy(), np.linalg.cholesky(a))
+    assert np.allclose(analysis.cholesky_blocked(m, panel=4).to_numpy(), np.linalg.cholesky(a))
+
+
+@pytest.mark.parametrize("rank", [2, 4, 6])
+def test_pivoted_cholesky_as_spark_jobs(spark, rank):
+    """Also of a matrix of lower rank, where it ends early."""
+    x = np.random.default_rng(9).random((6, 4))
+    a = x @ x.T
+    m = Matrix.from_numpy(spark, a)
+    near, far = (solve(analysis.pivoted_cholesky, m, rank=rank, distributed=d).to_numpy() for d in (False, True))
+    assert np.allclose(near[:, :4], far[:, :4], atol=1e-6)
+    if rank >= 4:
+        assert np.allclose(far @ far.T, a)
+
+
+def test_reduce_dimension_and_dense_density_above_one_node(spark, monkeypatch):
+    """Solvers that run on arrays below the limit run as jobs, or gather, above it."""
+    from matrelate import matrix
+
+    monkeypatch.setattr(matrix, "LOCAL_LIMIT", 4)
+    a = np.diag([-3.0, -2.0, 1.0, 2.0, 3.0, 4.0]) + 0.05
+    m, one = Matrix.from_numpy(spark, a), Matrix.from_numpy(spark, np.eye(6))
+    reduced = solve(analysis.reduce_dimension, m, dim=2)
+    assert reduced.rows == reduced.cols == 2
+    assert np.allclose(np.linalg.eigvalsh(reduced.to_numpy()), np.linalg.eigvalsh(a)[:2], atol=1e-4)
+    d, energy, mu = solve(density.dense_density, m, one, ne=2.0)
+    assert abs(energy - np.linalg.eigvalsh(a)[:2].sum()) < 1e-9 and abs(np.trace(d.to_numpy()) - 2) < 1e-9 and -2 < mu < 1
+    monkeypatch.setattr(matrix, "GATHER_LIMIT", 5)
+    with pytest.raises(ValueError, match="too large for one node"):
+        solve(density.dense_density, m, one, ne=2.0)
+
+
+def test_filled_products_of_solvers_use_tiles(spark, monkeypatch):
+    from matrelate.operators import kernels
+
+    monkeypatch.setattr(kernels, "DENSE_SIDE", 4)
+    a = np.eye(6) * 2 + 0.1
+    out = solve(inverse.invert, Matrix.from_numpy(spark, a), distributed=True, parameters=SolverParameters(converge_diff=1e-7))
+    assert np.allclose(out.to_numpy(), np.linalg.inv(a))
