@@ -41,8 +41,9 @@ def power_bounds(a, parameters: SolverParameters | None = None) -> float:
         ritz.append(value)
         if len(ritz) >= 3:
             r1, r2, r3 = ritz[-3:]
-            bend = r3 - 2 * r2 + r1
-            found = (r3 * r1 - r2 * r2) / bend if abs(bend) > 1e-14 else r3
+            # as a correction of the last value, which stays exact when differences are down to rounding
+            bend, step = r3 - 2 * r2 + r1, r3 - r2
+            found = r3 - step * step / bend if abs(bend) > 1e-14 * abs(r3) else r3
             monitor.append(-(found - last))
             if monitor.converged() and abs(found - value) <= 1e-2 * max(1.0, abs(value)):
                 break

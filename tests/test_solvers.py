@@ -297,3 +297,11 @@ def test_filled_products_of_solvers_use_tiles(spark, monkeypatch):
     a = np.eye(6) * 2 + 0.1
     out = solve(inverse.invert, Matrix.from_numpy(spark, a), distributed=True, parameters=SolverParameters(converge_diff=1e-7))
     assert np.allclose(out.to_numpy(), np.linalg.inv(a))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e-5])
+def test_power_bounds_of_a_dominant_eigenvalue(scale):
+    """Where the iteration settles to rounding, extrapolation must not amplify it."""
+    a = (np.ones((25, 25)) + 0.03 * random_symmetric(21, n=25)) * scale
+    found = bounds.power_bounds(Dense(a), SolverParameters(max_iterations=60, converge_diff=1e-9 * scale))
+    assert abs(found / np.linalg.eigvalsh(a).max() - 1) < 1e-9
