@@ -56,7 +56,7 @@ class Block:
 
 def open_block(row: dict) -> Block:
     words = zstandard.ZstdDecompressor().decompress(row["vocabulary"])
-    return Block(row["block"], row["doc_ids"], unpack(row["lengths"], np.int32).astype(np.int64), unpack(row["codes"], np.int32), words.split(b" ") if words else [])
+    return Block(row["block"], row.get("doc_ids"), unpack(row["lengths"], np.int32).astype(np.int64), unpack(row["codes"], np.int32), words.split(b" ") if words else [])
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

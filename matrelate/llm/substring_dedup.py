@@ -48,15 +48,17 @@ POSITION_BITS = 30
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-#: Colliding hashes that are looked for in one pass (8 bytes each).
+#: Colliding hashes that the driver takes at once (8 bytes each).
 PASS_HASHES = 1_000_000
 #: Windows that are compared word by word at once.
 RUN = 1 << 15
 
 SENT = "block long, shard int, keys binary, many binary, places binary"
-#: What a block finds: the starts of its repeated windows (kind 0), or stretches to be compared in the block of the row (kind 1), or the hash of different windows (kind 2).
-FOUND = "block long, kind int, starts binary, sizes binary, words binary, hash long"
+#: What a block finds: itself with the starts of its repeated windows (kind 0), or stretches to be compared in the block of the row (kind 1), or the hash of different windows (kind 2).
+FOUND = "block long, kind int, starts binary, sizes binary, said binary, hash long, doc_ids array<long>, lengths binary, codes binary, vocabulary binary"
 FOUND_NAMES = [f.split()[0] for f in FOUND.split(", ")]
+#: The columns of a block that is passed on.
+OWN = ["doc_ids", "lengths", "codes", "vocabulary"]
 OUT_SCHEMA = "doc_id long, n_words long, repeats array<struct<start:int,end:int>>, kept string"
 
 
@@ -193,7 +195,7 @@ def _stretches(starts: np.ndarray, blocks: np.ndarray, places: np.ndarray) -> tu
 
 
 def _row(block: int, kind: int, **cells) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3]
     values = {"block": block, "kind": kind} | cells
     return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(FOUND_NAMES, types)], names=FOUND_NAMES)
 
@@ -214,7 +216,7 @@ def _decide(row: dict, length: int, bits: int, doubtful: np.ndarray) -> Iterator
     kind, partner, place = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
     good = ~np.isin(s.keys, doubtful)
     repeated = (kind > 0) & good
-    yield _row(s.block.number, 0, starts=pack(np.diff(s.starts[repeated[s.place]], prepend=0)))
+    yield _row(s.block.number, 0, starts=pack(np.diff(s.starts[repeated[s.place]], prepend=0)), **{c: row[c] for c in OWN})
     # inside the block, with the first of equal windows
     again = np.flatnonzero((s.many & good)[s.place])
     bad = again[_differing(s.block, s.starts[again], s.first[s.place[again]], length)]
@@ -232,17 +234,18 @@ def _decide(row: dict, length: int, bits: int, doubtful: np.ndarray) -> Iterator
         mine = first[partner[first] == other]
         sizes = n[partner[first] == other] + length - 1
         said = [b" ".join(map(words.__getitem__, s.block.codes[a : a + k].tolist())) for a, k in zip(starts[mine].tolist(), sizes.tolist())]
-        yield _row(other, 1, starts=pack(place[mine]), sizes=pack(sizes), words=zstandard.ZstdCompressor(level=1).compress(b"\n".join(said)))
+        yield _row(other, 1, starts=pack(place[mine]), sizes=pack(sizes), said=zstandard.ZstdCompressor(level=1).compress(b"\n".join(said)))
 
 
 def _compare(rows: Iterator[dict], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Blocks, each followed by the stretches that others have matched with it: hashes of windows that differ."""
-    block = None
+    block = held = None
     for row in rows:
         if row["kind"] == 0:
-            block = open_block(row)
+            held, block = row, None
             continue
-        said = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
+        block = block or open_block(held)
+        said = zstandard.ZstdDecompressor().decompress(row["said"]).split(b"\n")
         words, codes = block.vocabulary, block.codes
         for start, size, text in zip(unpack(row["starts"], np.int64).tolist(), unpack(row["sizes"], np.int64).tolist(), said):
             if b" ".join(map(words.__getitem__, codes[start : start + size].tolist())) == text:
@@ -267,15 +270,14 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            found = [np.cumsum(unpack(x, np.int64)) for x in row["found"] or []]
-            yield _without(open_block(row), np.concatenate(found) if found else np.zeros(0, np.int64), length)
+            found = [np.cumsum(unpack(row[c], np.int64)) for c in ("starts", "more") if row.get(c)]
+            yield _without(open_block(row), np.concatenate(found), length)
 
-    own = decided.groupBy("block").agg(F.collect_list("starts").alias("found"))
-    return map_batches(blocks.join(own, "block", "left"), cut, OUT_SCHEMA)
+    return map_batches(decided, cut, OUT_SCHEMA)
 
 
 def _find(blocks: DataFrame, length: int, bits: int) -> DataFrame:
-    """Stored starts of the repeated windows of each block, in one row or more."""
+    """Stored blocks with the starts of their repeated windows (starts, and more where hashes collide)."""
     shards = shard_count(blocks, 0.15)
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,26 +307,25 @@ def _find(blocks: DataFrame, length: int, bits: int) -> DataFrame:
 
         return run
 
-    found = materialize(map_batches(matched, decide(np.zeros(0, np.uint64)), FOUND), "found")
+    found = materialize(map_batches(matched, decide(np.zeros(0, np.uint64)), FOUND), "found", keep=True)
+    own = found.where("kind = 0").select("block", "starts", *OWN)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _compare(rows_of(batches), length, bits)
 
-    asked = blocks.withColumns({"kind": F.lit(0), **{c: F.lit(None).cast("binary") for c in ("starts", "sizes", "words_")}})
-    told = found.where("kind = 1").withColumnRenamed("words", "words_").drop("hash")
-    both = asked.drop("words").unionByName(told, allowMissingColumns=True).withColumnRenamed("words_", "words")
+    # of a block only what a comparison reads moves to the stretches; blocks that are not asked have none
+    both = found.where("kind < 2").withColumns({c: F.when(F.col("kind") == 1, F.col(c)) for c in ("starts", "sizes")}).drop("hash", "doc_ids")
     both = both.repartition("block").sortWithinPartitions("block", "kind")
     hashes = found.where("kind = 2").select("hash").unionByName(map_batches(both, compare, FOUND).select("hash"))
     hashes = materialize(hashes.distinct(), "doubtful")
     n = hashes.count()
     if not n:
-        return materialize(found.where("kind = 0").select("block", "starts"), "decided", keep=True)
+        return own
     parts = -(-n // PASS_HASHES)
     collected = [np.array([r["hash"] for r in hashes.where(F.pmod("hash", F.lit(parts)) == k).collect()], np.int64).view(np.uint64) for k in range(parts)]
-    sure = map_batches(matched, decide(np.concatenate(collected)), FOUND).where("kind = 0").select("block", "starts")
-    for part in collected:
-        sure = sure.unionByName(_by_words(seeded, part, length, bits))
-    return materialize(sure, "decided", keep=True)
+    sure = map_batches(matched, decide(np.concatenate(collected)), FOUND).where("kind = 0").select("block", "starts", *OWN)
+    more = _by_words(seeded, np.concatenate(collected), length, bits)
+    return materialize(sure.join(more, "block", "left"), "decided", keep=True)
 
 
 def _by_words(seeded: DataFrame, doubtful: np.ndarray, length: int, bits: int) -> DataFrame:
@@ -342,11 +343,11 @@ def _by_words(seeded: DataFrame, doubtful: np.ndarray, length: int, bits: int) -
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         starts = np.sort(table["start"].to_numpy())
-        return pa.table({"block": [key[0].as_py()], "starts": [pack(np.diff(starts, prepend=0))]})
+        return pa.table({"block": [key[0].as_py()], "more": [pack(np.diff(starts, prepend=0))]})
 
     spelt = map_batches(seeded, spell, "block long, start long, said binary")
     several = spelt.groupBy("said").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("said")
-    return spelt.join(several, "said", "left_semi").groupBy("block").applyInArrow(gather, "block long, starts binary")
+    return spelt.join(several, "said", "left_semi").groupBy("block").applyInArrow(gather, "block long, more binary")
 
 
 def _without(block: Block, starts: np.ndarray, length: int) -> pa.RecordBatch:
