@@ -12,8 +12,8 @@ from .common import map_batches, materialize, passing
 
 #: Contraction halves the depth of every tree each time; this many rounds cover any graph that fits a cluster.
 MAX_ROUNDS = 60
-#: Nodes that a task remembers; its forest is emitted and begun anew beyond them.
-FOREST_NODES = 400_000
+#: Links that a task unites, and nodes that it remembers; its forest is emitted and begun anew beyond them.
+TASK_LINKS, FOREST_NODES = 200_000, 400_000
 
 
 class Forest(dict):
@@ -39,21 +39,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``links`` has columns a, b; returns stored (node, root), root being the smallest node reachable.
 
     Nodes without links do not appear.  Each task first unites its own links,
-    so that at most one link a node and task is left.  Then each round joins
+    so that at most one link a node and task is left; the links of a small
+    table meet in one task and are settled with that.  Then each round joins
     every edge with the smallest neighbour of one end; neighbours are never
     gathered in lists, and as the smallest neighbours are read from a stored
     table, a hub's edges are a skewed join side that Spark may split.
     """
     spark = links.sparkSession
     with passing(spark):
-        edges = materialize(_united(links.select("a", "b").where("a <> b")), "edges")
-        before = None
+        tasks = -(-links.count() // TASK_LINKS) or 1
+        edges = materialize(_united(links.select("a", "b").where("a <> b").repartition(tasks)), "edges")
         for _ in range(MAX_ROUNDS):
-            edges = materialize(_small_star(materialize(_large_star(edges), "edges")), "edges")
-            now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-            if now == before:
+            if _settled(edges):
                 break
-            before = now
+            edges = materialize(_small_star(materialize(_large_star(edges), "edges")), "edges")
         else:
             raise RuntimeError("components did not settle")
         # settled: every edge runs from a node to its root
@@ -85,6 +84,13 @@ def _united(links: DataFrame) -> DataFrame:
     return map_batches(links, run, links.schema).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge to its root, and no root an edge of its own."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def _tidy(edges: DataFrame) -> DataFrame:
     """Larger node first, no loops, no repeats."""
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

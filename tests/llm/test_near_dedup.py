@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import frame, invented
 
-from matrelate.llm import near_dedup
+from matrelate.llm import components, near_dedup
 from matrelate.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,7 +104,10 @@ def test_signatures_estimate_similarity():
         assert abs(np.mean(agree) - k / (800 - k)) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links, nodes", [(200_000, 400_000), (20, 400_000), (20, 5)])
+def test_components(spark, monkeypatch, task_links, nodes):
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
+    monkeypatch.setattr(components, "FOREST_NODES", nodes)
     r = random.Random(7)
     links = [(k, k + 1) for k in range(0, 60)] + [(200 + r.randrange(40), 200 + r.randrange(40)) for _ in range(30)] + [(500, k) for k in range(501, 560)]
     parent = {x: x for e in links for x in e}
