@@ -144,7 +144,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
             keys, n = np.unique(_grams(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([keys.tobytes()]), pa.array([n.astype(np.int64).tobytes()])], names=["lang", "keys", "n"])
 
-    sample = rows.where(_drawn(totals, train_docs)).select("text", "lang").repartition(4)
+    sample = rows.where(_drawn(totals, train_docs)).select("text", "lang").repartition(max(4, len(totals)))
     parts: dict[str, list] = defaultdict(list)
     for r in map_batches(sample, count, "lang string, keys binary, n binary").collect():
         parts[r["lang"]].append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.int64)))
