@@ -185,7 +185,8 @@ class Postings:
             if not len(places):
                 break
             other = self.lists[term]
-            places = places[np.searchsorted(other, places + reach) > np.searchsorted(other, places - reach + 1)]
+            at = np.searchsorted(other, places - reach + 1)
+            places = places[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] < places + reach)]
         if len(order) > 1 and len(places):
             places = places[self._together(order, places, reach, doc_of, doc_starts)]
         return np.unique(doc_of(places))
