@@ -135,13 +135,30 @@ def materialize(df: DataFrame, name: str, keep: bool = False, path: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids that are broadcast at most (a hash table of about 100 bytes an id); more are joined by a shuffle.
+@contextlib.contextmanager
+def unbroadcast(spark: SparkSession):
+    """Jobs run inside broadcast what ``small`` has counted and nothing else, whatever the session's thresholds.
+
+    Spark goes by the size of compressed files, and the hash tables are built on the driver.
+    """
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k in names:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+#: Keys that are broadcast at most (a hash table of about 50 bytes a key if that is one long); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
 def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
-    """A table of single ids, marked for broadcast if a count shows that it is small enough."""
-    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+    """A table of keys, marked for broadcast if a count shows that it is small enough, and else for none."""
+    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids.hint("merge")
 
 
 #: Keys of rows (an id and a digest, about 100 bytes each) that are broadcast at most.

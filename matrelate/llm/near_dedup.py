@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, caches, map_batches, materialize, mix64, passing, raw_texts, small, without
+from .common import LOWER, WordHashes, caches, map_batches, materialize, mix64, passing, raw_texts, small, unbroadcast, without
 from .components import Forest, connected_components
 from .exact_dedup import sha256
 
@@ -152,9 +152,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
                         names=["class", "signature", "hashes"],
                     )
 
-    rep = small(wanted.select(F.col("rep").alias("wanted_id")).distinct())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(rep, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+    # one long that is never null keeps the driver's hash table small; rows whose ids share one are sorted out by their classes
+    rep = small(wanted.select(F.xxhash64("rep").alias("wanted")).distinct())
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.join(rep, F.col("key") == F.col("wanted"), "left_semi").select("text")
     found = map_batches(rows, run, SET_SCHEMA).join(wanted.select("class").distinct(), "class", "left_semi")
     return materialize(found.groupBy("class").agg(F.min("signature").alias("signature"), F.min("hashes").alias("hashes")), "sets")
 
@@ -296,11 +297,12 @@ def _resolve(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     )
     classes = materialize(classes, "classes")
 
-    with passing(docs.sparkSession):
+    with passing(docs.sparkSession), unbroadcast(docs.sparkSession):
         roots = _grouped(docs, classes, size, percent, id_col, text_col)
-    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "copies", "one", F.coalesce("root", "class").alias("root"))
+    # these joins run when the caller reads them, under the session's thresholds: hints keep them off the driver
+    named = classes.join(roots.hint("merge"), classes["class"] == roots["node"], "left").select("class", "copies", "one", F.coalesce("root", "class").alias("root"))
     smallest = named.groupBy("root").agg(F.min("one").alias("one"))
-    return rows, named.drop("one").join(smallest, "root").select("class", "copies", "one")
+    return rows, named.drop("one").join(smallest.hint("merge"), "root").select("class", "copies", "one").hint("merge")
 
 
 def _grouped(docs: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import frame, invented
 
-from matrelate.llm import components, near_dedup
+from matrelate.llm import common, components, near_dedup
 from matrelate.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,3 +124,28 @@ def test_components(spark, monkeypatch, task_links, nodes):
     loops = {a for a, b in links if a == b}
     assert got == {x: root(x) for x in parent if x in got} and set(parent) - set(got) <= loops
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_the_driver_holds_no_hash_tables_but_counted_ones(spark, monkeypatch, bound):
+    """Under a session that broadcasts freely: the wanted ids as one long each if they are few, nothing else."""
+    plans = []
+
+    def watched(df, *args, **kinds):
+        plans.append(df.select("*")._jdf.queryExecution().executedPlan().toString())
+        return common.materialize(df, *args, **kinds)
+
+    monkeypatch.setattr(near_dedup, "materialize", watched)
+    monkeypatch.setattr(components, "materialize", watched)
+    if bound is not None:
+        monkeypatch.setattr(near_dedup, "small", lambda ids: common.small(ids, bound))
+    base = [invented(k, 60) for k in range(8)]
+    rows = [*enumerate(base), *[(20 + k, edited(t.split(), k, 1)) for k, t in enumerate(base)], (None, base[3] + " more"), (None, base[5] + " words")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = near_dedup.find_groups(frame(spark, rows), 4, 80)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found.collect()), key=str)
+    assert got == brute(rows, 4, 80)
+    tables = [line for p in plans for line in p.splitlines() if "BroadcastExchange" in line]
+    assert len(tables) == (0 if bound == 0 else 1) and all("input[0, bigint, false]" in x for x in tables)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
