@@ -161,8 +161,8 @@ def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids.hint("merge")
 
 
-#: Keys of rows (an id and a digest, about 100 bytes each) that are broadcast at most.
-BROADCAST_KEYS = 500_000
+#: Keys of rows (an id and a digest, about 200 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 200_000
 
 
 def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:

@@ -149,3 +149,13 @@ def test_the_driver_holds_no_hash_tables_but_counted_ones(spark, monkeypatch, bo
     tables = [line for p in plans for line in p.splitlines() if "BroadcastExchange" in line]
     assert len(tables) == (0 if bound == 0 else 1) and all("input[0, bigint, false]" in x for x in tables)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_many_keys_are_not_broadcast(spark):
+    """Rows beyond the bound go by a shuffle, whatever the session's threshold; none is lost."""
+    rows, gone = spark.range(300_000), spark.range(common.BROADCAST_KEYS + 1)
+    for bound, tables in ((gone, 0), (spark.range(100), 1)):
+        left = common.without(rows, bound, ["id"])
+        assert left._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == tables
+        assert left.count() == 300_000 - bound.count()
+    assert common.BROADCAST_KEYS * 200 <= 40 << 20
