@@ -20,13 +20,13 @@ from matrelate.llm.queries import tokenizer_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the corpus' languages go: those without letters and those that fit no language.
 
-    What a language's texts score at least is read from its labelled rows; the
-    fewer n-grams a text has, the more it may fall short (``language_id.fits``).
+    The model and what a language's texts score at least come from all its
+    labelled rows, none left out; the fewer n-grams a text has, the more it may fall short (``language_id.fits``).
     Null and empty texts go.  Null ids, repeated rows and null languages stay.
     A corpus without any labelled row has no languages to test against and
     stays whole; an empty one gives an empty result.
     """
-    model = language_id.fit(docs)
+    model = language_id.fit_all(docs)
     if not model.languages:
         return docs
     fits = language_id.fits(language_id.least_scores(docs, model))

@@ -11,8 +11,9 @@ An n-gram is typical of a language if its share among that language's n-grams
 is at least ``TYPICAL`` times its largest share in any language, and if it was
 seen ``MIN_COUNT`` times.
 
-Fitting reads a bounded sample of labelled rows: about ``TRAIN_DOCS`` whole
-texts a language, drawn by a hash of the id.  Prediction reads the text only.
+``fit`` reads a bounded sample of labelled rows: about ``TRAIN_DOCS`` whole
+texts a language, drawn by a hash of the id.  ``fit_all`` counts every labelled
+row, and ``least_scores`` judges every one.  Prediction reads the text only.
 
 Defined results: a null text and a text without any letter give ``und`` with
 score 0; a text with letters but no n-gram known anywhere gets the most
@@ -31,11 +32,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, raw_texts
+from .common import map_batches, materialize, passing, raw_texts
 
 UNKNOWN = "und"
 TRAIN_DOCS = 3000
@@ -43,6 +44,10 @@ TYPICAL = 0.5
 MIN_COUNT = 3
 #: A text is none of its language below this share of the score that all but this part of its labelled texts reach.
 LEAST_SHARE, LEAST_QUANTILE = 0.9, 0.001
+#: Steps of a score from 0 to 1 in which ``least_scores`` counts.
+SCORE_STEPS = 1 << 16
+#: Distinct n-grams that a task of ``fit_all`` holds; it emits their counts beyond.
+HELD_GRAMS = 2_000_000
 #: How far a share may fall short by chance, times the root of the number of n-grams.
 SLACK = 2.0
 #: log2 of the filters' length in bits.
@@ -160,18 +165,77 @@ def _drawn(totals: dict[str, int], train_docs: int) -> Column:
     return chosen
 
 
-def least_scores(docs: DataFrame, model: Model, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
-    """For each language the score under which a text is no text of it: ``LEAST_SHARE`` of the ``LEAST_QUANTILE`` of labelled rows that the model gets right.
+def fit_all(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from every row with a language: the model that ``fit`` would give if its sample were all of them.
 
-    Read on a bounded sample, as the fit is.
+    Counts meet in Spark; the driver gets the filters' set bits, at most one number a bit and language.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
-        return {}
-    judged = identify(rows.where(_drawn(totals, train_docs)), model, carry=["lang"]).where("record.lang = lang_pred")
-    lows = judged.groupBy("lang_pred").agg(F.percentile_approx("score", LEAST_QUANTILE, 10_000).alias("low"))
-    return {r["lang_pred"]: LEAST_SHARE * r["low"] for r in lows.collect()}
+        return Model([], UNKNOWN)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for lang, (keys, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+
+        for batch in batches:
+            langs = batch.column(1).to_pylist()
+            for lo, texts in grouped(raw_texts(batch.column(0)), GROUP_BYTES):
+                of: dict[str, list[bytes]] = defaultdict(list)
+                for text, lang in zip(texts, langs[lo : lo + len(texts)]):
+                    of[lang].append(_prepare(text))
+                for lang, own in of.items():
+                    keys, n = np.unique(_grams(own)[0], return_counts=True)
+                    if lang in held:
+                        both = np.concatenate([held[lang][0], keys])
+                        keys, at = np.unique(both, return_inverse=True)
+                        n = np.bincount(at, np.concatenate([held[lang][1], n]), len(keys)).astype(np.int64)
+                    held[lang] = keys, n
+            if sum(len(keys) for keys, _ in held.values()) > HELD_GRAMS:
+                yield from counts()
+                held.clear()
+        yield from counts()
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_numpy().astype(np.uint64)
+            at = np.concatenate([_position(keys, h) for h in HASHES])
+            langs = pa.concat_arrays([batch.column(0)] * len(HASHES))
+            yield pa.RecordBatch.from_arrays([langs, pa.array(at)], names=["lang", "bit"])
+
+    with passing(docs.sparkSession):
+        grams = materialize(map_batches(rows, count, "lang string, key long, n long").groupBy("key", "lang").agg(F.sum("n").alias("n")), "grams")
+        sizes = grams.groupBy("lang").agg(F.sum("n").alias("size"))
+        shares = grams.join(F.broadcast(sizes), "lang").select("key", "lang", "n", (F.col("n") / F.col("size")).alias("share"))
+        # as many entries as languages
+        per = shares.groupBy("key").agg(F.collect_list(F.struct("lang", "n", "share")).alias("of"), F.max("share").alias("most"))
+        member = per.select("key", "most", F.inline("of")).where(f"share >= {TYPICAL}D * most and n >= {MIN_COUNT}").select("lang", "key")
+        found = map_batches(member, set_bits, "lang string, bit long").distinct().groupBy("lang").agg(F.collect_list(F.col("bit").cast("int")).alias("bits")).toArrow()
+    # a language whose texts have no n-gram has a filter without bits
+    bits = {lang: np.zeros(0, np.int64) for lang in sorted(totals)}
+    for lang, own in zip(found.column(0).to_pylist(), found.column(1)):
+        bits[lang] = own.values.to_numpy().astype(np.int64)
+    return Model(_slices(bits), max(sorted(totals), key=totals.get))
+
+
+def least_scores(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the score under which a text is no text of it: ``LEAST_SHARE`` of the ``LEAST_QUANTILE`` of all labelled rows that the model gets right.
+
+    Exact counts by steps of the score, so the quantile is rounded down to a step.
+    """
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    judged = identify(rows, model, carry=["lang"]).where("record.lang = lang_pred")
+    steps = judged.groupBy("lang_pred", F.floor(F.col("score") * SCORE_STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    # at most SCORE_STEPS + 1 rows a language
+    own = Window.partitionBy("lang_pred")
+    below = F.sum("n").over(own.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = steps.select("lang_pred", "step", below.alias("below"), F.sum("n").over(own).alias("of"))
+    lows = ranked.where(F.col("below") >= F.col("of") * LEAST_QUANTILE).groupBy("lang_pred").agg(F.min("step").alias("step"))
+    return {r["lang_pred"]: LEAST_SHARE * r["step"] / SCORE_STEPS for r in lows.collect()}
 
 
 def fits(least: dict[str, float]) -> Column:
@@ -195,16 +259,21 @@ def _model(parts: dict, totals: dict[str, int]) -> Model:
             np.add.at(counts[row], np.searchsorted(every, keys), n)
     shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     member = (shares >= TYPICAL * shares.max(axis=0, initial=0)) & (counts >= MIN_COUNT)
-    slices = []
+    bits = {lang: np.concatenate([_position(every[member[row]], h) for h in HASHES]) for row, lang in enumerate(languages)}
+    return Model(_slices(bits), max(sorted(totals), key=totals.get))
+
+
+def _slices(found: dict[str, np.ndarray]) -> list[Slices]:
+    """Filters from the set bits of each language, languages in order."""
+    languages, slices = list(found), []
     for at in range(0, len(languages), 64):
         names = languages[at : at + 64]
         bits = np.zeros(1 << FILTER_BITS, np.uint8 if len(names) <= 8 else np.uint64)
-        for k, _ in enumerate(names):
-            for h in HASHES:
-                bits[_position(every[member[at + k]], h)] |= bits.dtype.type(1 << k)
+        for k, name in enumerate(names):
+            bits[found[name]] |= bits.dtype.type(1 << k)
         fill = np.array([np.count_nonzero(bits >> bits.dtype.type(k) & bits.dtype.type(1)) / len(bits) for k in range(len(names))])
         slices.append(Slices(names, bits, fill ** len(HASHES)))
-    return Model(slices, max(sorted(totals), key=totals.get))
+    return slices
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 from conftest import frame
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from matrelate.llm import language_id
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +65,38 @@ def test_tables(spark, corpus):
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.fit(none)).collect()} == {"und"}
     assert language_id.identify(frame(spark, []), model).count() == 0
+
+
+@pytest.mark.parametrize("held", [2_000_000, 300])
+def test_every_labelled_row_counts(spark, monkeypatch, held):
+    """Model and limits against counts of all labelled rows, however small the sample of ``fit`` would be."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 5)
+    monkeypatch.setattr(language_id, "HELD_GRAMS", held)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0")
+    docs = docs.unionByName(spark.createDataFrame([(10**6, "123 ...", "xx", "s", 7), (10**6 + 1, None, "fr", "s", 0)], docs.schema)).repartition(3)
+    rows = [(r["text"].encode(), r["lang"]) for r in docs.where("lang is not null and text is not null").collect()]
+    parts, totals = {}, {}
+    for lang in {x for _, x in rows}:
+        own = [language_id._prepare(t) for t, x in rows if x == lang]
+        keys, n = np.unique(language_id._grams(own)[0], return_counts=True)
+        parts[lang], totals[lang] = [(keys, n.astype(np.int64))], len(own)
+    whole, model = language_id._model(parts, totals), language_id.fit_all(docs)
+    assert model.languages == whole.languages == ["de", "en", "es", "fr", "xx"] and model.fallback == whole.fallback
+    for a, b in zip(model.slices, whole.slices, strict=True):
+        assert (a.bits == b.bits).all() and (a.false_positive == b.false_positive).all()
+
+    scores = {}
+    for (lang, score), (_, is_) in zip(whole.predict([t for t, _ in rows]), rows):
+        if lang == is_:
+            scores.setdefault(lang, []).append(int(score * language_id.SCORE_STEPS))
+    expected = {x: language_id.LEAST_SHARE * sorted(v)[max(0, int(np.ceil(len(v) * language_id.LEAST_QUANTILE)) - 1)] / language_id.SCORE_STEPS for x, v in scores.items()}
+    assert language_id.least_scores(docs, model) == expected
+
+
+def test_the_pipeline_draws_no_sample(spark, monkeypatch):
+    def drawn(*_):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(language_id, "_drawn", drawn)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert corpus_pipeline.language(spark, docs, SF).count() > 0.9 * docs.count()
